@@ -144,11 +144,12 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, steps: int = 2, min_rows:
     model = materialize(model, "mcd")
     # Each (lang, source) takes its own estimate if it has rows enough, else its language's, else that of all.
     groups = stats.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source", F.concat(F.lit("="), F.coalesce("lang", F.lit("\0"))).alias("l"), F.concat(F.lit("="), F.coalesce("source", F.lit("\0"))).alias("s"))
-    picks = [model.select(F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("n", "mean", "low").alias(f"m{k}")) for k in range(3)]
+    picks = [model.select(F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("n", "mean", "low").alias(f"m{k}")) for k in range(2)]
     joined = groups.join(picks[0], (F.col("l") == F.col("l0")) & (F.col("s") == F.col("s0")), "left").join(picks[1].where("s1 = '*'"), F.col("l") == F.col("l1"), "left")
-    joined = joined.join(F.broadcast(picks[2].where("l2 = '*'")), F.lit("*") == F.col("l2"), "left")  # a single row
-    best = F.when(F.col("m0.n") >= min_rows, F.col("m0")).when(F.col("m1.n") >= min_rows, F.col("m1")).otherwise(F.col("m2"))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), best["mean"].alias("mean"), best["low"].alias("low"))
+    of_all = model.where("g_lang = '*'").first()  # one row, or none where no row can be used
+    spare = [F.lit(of_all[c] if of_all else None).cast("array<double>") for c in ("mean", "low")]
+    best = [F.when(F.col("m0.n") >= min_rows, F.col(f"m0.{c}")).when(F.col("m1.n") >= min_rows, F.col(f"m1.{c}")).otherwise(s).alias(c) for c, s in zip(("mean", "low"), spare)]
+    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *best)
 
 
 def judge(stats: DataFrame, cutoff: float = 60.0, **options) -> DataFrame:
