@@ -30,6 +30,10 @@ CHUNKS, WIDTH = 9, 6
 VALUES = CHUNKS * WIDTH
 #: Signatures of links at 0.8 differ in more values than this with probability 1e-6.
 MOST_DIFFERENT = 26
+#: Of two bits of each value, links at 0.8 differ in more than this with probability 1e-6; unlike sets in about 36.
+MOST_SKETCH = 22
+PAIRS_OF_BITS = 0x1555555555555555
+SCRAMBLE = 0x2545F4914F6CDD1D
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -113,20 +117,19 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, rep, n: VALUES rows for each class."""
+    """key, rep: VALUES rows for each class."""
 
     def run(batches):
         for batch in slices(batches, most_rows=5_000):
             sig = column(batch, "sig")
             keys = keys_of(np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(len(sig), VALUES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(column(batch, "rep").to_numpy(zero_copy_only=False), VALUES)), pa.array(np.repeat(column(batch, "n").to_numpy(zero_copy_only=False), VALUES))], ["key", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(column(batch, "rep").to_numpy(zero_copy_only=False), VALUES))], ["key", "rep"])
 
-    return classes.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n long")
+    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most MOST_DIFFERENT values."""
-    sig = classes.select("rep", "sig")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose signatures differ in at most MOST_DIFFERENT values."""
 
     def run(batches):
         for batch in batches:
@@ -136,7 +139,8 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = pa.array((x != y).sum(axis=1) <= MOST_DIFFERENT)
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    a, b = (classes.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -167,6 +171,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _sketch_words(sig) -> list:
+    """Two longs with the two lowest bits of each value of a signature, 27 values each."""
+    digits = F.hex(sig)  # a value is four digits, of which the second holds its low byte's low bits
+    words = []
+    for k in range(2):
+        w = F.lit(0).cast("long")
+        for i in range(27):
+            at = (k * 27 + i) * 4 + 2
+            low = F.conv(F.substring(digits, at, 1), 16, 10).cast("long").bitwiseAND(F.lit(3))
+            w = w.bitwiseOR(F.call_function("shiftleft", low, F.lit(2 * i)))
+        words.append(w.alias(f"w{k}"))
+    return words
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id that can be reached) of all ids in links (a, b), by label hooking and pointer jumping."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "edges")
@@ -189,29 +207,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     # One class a representative: a key that repeats with several texts represents one class and its others keep apart.
     classes = materialize(classes, "classes")
     buckets = _buckets(classes)
-    # The order of leaders is by hash, so that they are not the shortest or oldest documents.
-    leaders = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"), F.col("n"))).alias("leader")).where("m > 1")
-    members = materialize(buckets.join(leaders.select("key", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n")), "key"), "buckets")
-    alike = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    # Leaders are the least by a scrambled order, so that they are not just the oldest documents.
+    order = F.col("rep").bitwiseXOR(F.lit(SCRAMBLE))
+    leaders = buckets.groupBy("key").agg(F.min(order).alias("leader"), F.max(order).alias("last")).where("leader <> last")
+    leaders = leaders.select("key", F.col("leader").bitwiseXOR(F.lit(SCRAMBLE)).alias("leader"))
+    members = materialize(buckets.join(leaders, "key"), "buckets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        return materialize(_confirmed(materialize(_near(pairs, classes), "near"), docs, classes, size, percent), "links")
+        return materialize(_confirmed(materialize(_near(pairs, classes, percent), "near"), docs, classes, size, percent), "links")
 
-    links = links_of(members.where("rep <> leader").where(alike("n", "leader_n")).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    found = components(links)
+    first = components(links_of(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
 
-    placed = members.select("key", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Each member with its component, size and a short sketch, two bits of each value.
+    facts = classes.select("rep", "n", *_sketch_words(F.col("sig")))
+    facts = facts.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.select("key", "rep").join(facts, "rep")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
     split = materialize(placed.join(mixed, "key"), "mixed")
     x, y = split.where("component <> main").alias("x"), split.alias("y")
     # Both from outside the main component: once is enough.
-    apart = F.expr("x.key = y.key and x.component <> y.component and (y.component = y.main or x.rep < y.rep) and " + alike("x.n", "y.n"))
-    more = links_of(x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-    found = components(links.union(more))
-
-    of_class = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    apart = "x.key = y.key and x.component <> y.component and (y.component = y.main or x.rep < y.rep)"
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and " + " + ".join(f"bit_count(((x.w{k} ^ y.w{k}) | shiftrightunsigned(x.w{k} ^ y.w{k}, 1)) & {PAIRS_OF_BITS})" for k in range(2)) + f" <= {MOST_SKETCH}"
+    more = links_of(x.join(y, F.expr(f"{apart} and {alike}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+    # From here on components stand for their members: links between them are few.
+    of = [first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    joint = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    second = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    found = facts.select("rep", "component").join(second, "component", "left").select("rep", F.coalesce("least", "component").alias("component"))
+
+    of_class = classes.select("class", "rep").join(found, "rep").select("class", "component")
     out = rows.select("key", "n", "class").join(of_class, "class", "left")
     component = F.coalesce("component", "key")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
