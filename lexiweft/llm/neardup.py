@@ -8,8 +8,9 @@ in some bucket. At a similarity of 0.8 a chunk meets with probability 0.655, so
 
 Buckets are not expanded into pairs. First each member is paired with its bucket's leader, which links most of any
 large group. Only buckets whose members are still of several components after that are looked at again: members outside
-the bucket's largest component are paired with those of other components. A link inside a component changes nothing, so
-none is lost. Every candidate is confirmed on the full sets.
+the bucket's largest component are paired with those of other components, where parities of the sets do not rule a link
+out. A link inside a component changes nothing, so none is lost. Candidates that bitmaps of the sets do not rule out
+either are confirmed on the full sets; both bounds are exact.
 
 Contract: one row per input row. Null, empty and blank texts have no shingles, link with nothing and are their own
 component. A text of one word has that word as its only shingle. Repeated rows repeat, in one component. A null key
@@ -33,6 +34,8 @@ MOST_DIFFERENT = 26
 #: Of two bits of each value, links at 0.8 differ in more than this with probability 1e-6; unlike sets in about 36.
 MOST_SKETCH = 22
 PAIRS_OF_BITS = 0x1555555555555555
+#: Bits of a set's parities.
+PARITIES = 512
 SCRAMBLE = 0x2545F4914F6CDD1D
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -100,20 +103,21 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """key, n, class (a digest of the set), sig for each row."""
+    """key, n, class (a digest of the set), sig, odd for each row."""
 
     def run(batches):
         shingler, (a, b) = Shingler(size), _coefficients()
         for batch in slices(batches):
-            n, classes, sigs = [], [], []
+            n, classes, sigs, odd = [], [], [], []
             for text in column(batch, "text").to_pylist():
                 s = shingler.of(text)
                 n.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], ["key", "n", "class", "sig"])
+                odd.append(parities(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(odd, pa.binary())], ["key", "n", "class", "sig", "odd"])
 
-    return docs.mapInArrow(run, "key long, n long, class binary, sig binary")
+    return docs.mapInArrow(run, "key long, n long, class binary, sig binary, odd binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -144,6 +148,25 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit a shingle, packed; 8 to 16 times as many bits as shingles, a power of two."""
+    m = 1 << max(6, (8 * len(shingles) - 1).bit_length())
+    bits = np.zeros(m, np.uint8)
+    bits[shingles >> np.uint64(64 - (m.bit_length() - 1))] = 1
+    return np.packbits(bits)
+
+
+def can_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles can link by their bitmaps. A shingle whose bit the other lacks is not shared, so no link is lost."""
+    while len(x) != len(y):  # the longer at half its length: neighbouring bits share one
+        if len(x) < len(y):
+            x, y, n, m = y, x, m, n
+        pairs = np.unpackbits(x).reshape(-1, 2)
+        x = np.packbits(pairs[:, 0] | pairs[:, 1])
+    both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * both >= percent * (n + m - both)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union|. Only the texts of documents in pairs are read out."""
 
@@ -151,7 +174,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
         shingler = Shingler(size)
         for batch in slices(batches):
             s = [shingler.of(t) for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "class", "set"])
+            cols = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()), pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([bitmap(x).tobytes() for x in s], pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), *cols], ["rep", "class", "n", "set", "bits"])
+
+    def bounded(batches):
+        for batch in batches:
+            cols = (column(batch, c).to_pylist() for c in ("ba", "bb", "na", "nb"))
+            keep = pa.array([can_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m, percent) for x, y, n, m in zip(*cols)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
     def run(batches):
         for batch in batches:
@@ -164,25 +194,47 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = docs.join(ids, "key", "left_semi").mapInArrow(sets, "rep long, class binary, set binary")
+    own = docs.join(ids, "key", "left_semi").mapInArrow(sets, "rep long, class binary, n long, set binary, bits binary")
     # Where rows repeat a key with other texts, the class's own text counts, once.
-    own = materialize(own.join(classes.select("rep", "class"), ["rep", "class"], "left_semi").dropDuplicates(["rep"]).select("rep", "set"), "sets")
+    own = materialize(own.join(classes.select("rep", "class"), ["rep", "class"], "left_semi").dropDuplicates(["rep"]).select("rep", "n", "set", "bits"), "sets")
+    a, b = (own.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
+    bits = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = materialize(bits.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(bounded, "a long, b long"), "bounded")
     a, b = (own.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _sketch_words(sig) -> list:
-    """Two longs with the two lowest bits of each value of a signature, 27 values each."""
-    digits = F.hex(sig)  # a value is four digits, of which the second holds its low byte's low bits
-    words = []
-    for k in range(2):
-        w = F.lit(0).cast("long")
-        for i in range(27):
-            at = (k * 27 + i) * 4 + 2
-            low = F.conv(F.substring(digits, at, 1), 16, 10).cast("long").bitwiseAND(F.lit(3))
-            w = w.bitwiseOR(F.call_function("shiftleft", low, F.lit(2 * i)))
-        words.append(w.alias(f"w{k}"))
-    return words
+def _words(classes: DataFrame) -> DataFrame:
+    """rep, n, w0, w1 (two bits of each value of the signature), o0 .. o7 (the parities) as longs."""
+    names = ["w0", "w1", *(f"o{k}" for k in range(PARITIES // 64))]
+
+    def run(batches):
+        for batch in slices(batches, most_rows=5_000):
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(-1, 2, VALUES // 2).astype(np.int64)
+            odd = np.frombuffer(b"".join(column(batch, "odd").to_pylist()), np.int64).reshape(-1, PARITIES // 64)
+            words = np.column_stack([((sig & 3) << np.arange(0, VALUES, 2)).sum(axis=2), odd])
+            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "n"), *(pa.array(words[:, k]) for k in range(len(names)))], ["rep", "n", *names])
+
+    return classes.select("rep", "n", "sig", "odd").mapInArrow(run, "rep long, n long, " + ", ".join(f"{c} long" for c in names))
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles of each of PARITIES classes is odd, packed.
+
+    A shingle that only one of two sets has changes one parity, so sets differ in at least as many shingles as parities.
+    """
+    return np.packbits((np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8))
+
+
+def _sketches_alike() -> str:
+    """SQL: the sketches of x and y differ little enough."""
+    return " + ".join(f"bit_count(((x.w{k} ^ y.w{k}) | shiftrightunsigned(x.w{k} ^ y.w{k}, 1)) & {PAIRS_OF_BITS})" for k in range(2)) + f" <= {MOST_SKETCH}"
+
+
+def _parities_alike(percent: int) -> str:
+    """SQL: the sets of x and y can link by their parities; exact, since no link differs in more shingles."""
+    odd = " + ".join(f"bit_count(x.o{k} ^ y.o{k})" for k in range(PARITIES // 64))
+    return f"{100 + percent} * ({odd}) <= {100 - percent} * (x.n + y.n)"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,7 +255,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """key, n_shingles, component_id, kept; docs link with 100 * |intersection| >= percent * |union| of shingle sets."""
     docs = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = materialize(_sketches(docs, size), "sketches")
-    classes = rows.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     # One class a representative: a key that repeats with several texts represents one class and its others keep apart.
     classes = materialize(classes, "classes")
     buckets = _buckets(classes)
@@ -213,29 +265,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     leaders = leaders.select("key", F.col("leader").bitwiseXOR(F.lit(SCRAMBLE)).alias("leader"))
     members = materialize(buckets.join(leaders, "key"), "buckets")
 
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        return materialize(_confirmed(materialize(_near(pairs, classes, percent), "near"), docs, classes, size, percent), "links")
+        return materialize(_confirmed(pairs, docs, classes, size, percent), "links")
+
+    def near_links_of(pairs: DataFrame) -> DataFrame:
+        return links_of(materialize(_near(distinct(pairs), classes, percent), "near"))
+
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        """found (rep, component) with components joined by links; components stand for their members, so the edges are few."""
+        of = [found.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+        joint = links.join(of[0], "a").join(of[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        least = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
+        return materialize(found.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")), "found")
 
-    first = components(links_of(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
+    found = classes.select("rep", F.col("rep").alias("component"))
+    found = merged(found, near_links_of(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
 
-    # Each member with its component, size and a short sketch, two bits of each value.
-    facts = classes.select("rep", "n", *_sketch_words(F.col("sig")))
-    facts = facts.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = members.select("key", "rep").join(facts, "rep")
+    placed = members.select("key", "rep").join(found, "rep")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
-    split = materialize(placed.join(mixed, "key"), "mixed")
+    split = materialize(placed.join(mixed, "key").join(_words(classes), "rep"), "mixed")
     x, y = split.where("component <> main").alias("x"), split.alias("y")
     # Both from outside the main component: once is enough.
     apart = "x.key = y.key and x.component <> y.component and (y.component = y.main or x.rep < y.rep)"
-    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and " + " + ".join(f"bit_count(((x.w{k} ^ y.w{k}) | shiftrightunsigned(x.w{k} ^ y.w{k}, 1)) & {PAIRS_OF_BITS})" for k in range(2)) + f" <= {MOST_SKETCH}"
-    more = links_of(x.join(y, F.expr(f"{apart} and {alike}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-    # From here on components stand for their members: links between them are few.
-    of = [first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    joint = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-    second = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
-    found = facts.select("rep", "component").join(second, "component", "left").select("rep", F.coalesce("least", "component").alias("component"))
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_sketches_alike()} and {_parities_alike(percent)}"
+    pairs = x.join(y, F.expr(f"{apart} and {alike}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    found = merged(found, links_of(distinct(pairs)))
 
     of_class = classes.select("class", "rep").join(found, "rep").select("class", "component")
     out = rows.select("key", "n", "class").join(of_class, "class", "left")

@@ -285,3 +285,16 @@ def test_pipeline_stages(spark):
     for name, stage in pipeline.STAGES[3:]:
         out = stage(spark, out, "")
     assert out.columns[0] == "doc_id" and 0 < out.count() <= 180
+
+
+def test_bounds_on_sets_lose_no_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 500, 6000):
+        for share in (0.75, 0.79, 0.8, 0.85, 1.0):
+            both = rng.integers(0, 2**64, max(1, int(n * share)), np.uint64)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, (n - len(both)) // 2, np.uint64)])) for _ in "xy")
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                assert neardup.can_link(neardup.bitmap(x), neardup.bitmap(y), len(x), len(y), 80)
+                odd = int(np.bitwise_count(neardup.parities(x) ^ neardup.parities(y)).sum())
+                assert 180 * odd <= 20 * (len(x) + len(y))
