@@ -13,7 +13,8 @@ out. A link inside a component changes nothing, so none is lost. Candidates that
 either are confirmed on the full sets; both bounds are exact.
 
 Contract: one row per input row. Null, empty and blank texts have no shingles, link with nothing and are their own
-component. A text of one word has that word as its only shingle. Repeated rows repeat, in one component. A null key
+component. A text of one word has that word as its only shingle. Repeated rows repeat, in one component. Where a
+key repeats with several texts, each row has its text's component, and texts with the same least key are one. A null key
 stays null with the component of its text (null if no other row has that text) and is not kept. Extra columns are ignored.
 """
 
@@ -36,6 +37,8 @@ MOST_SKETCH = 22
 PAIRS_OF_BITS = 0x1555555555555555
 #: Bits of a set's parities.
 PARITIES = 512
+#: Words of 64 bits of the filter of keys, which bounds its broadcast: 2^19 rows of two longs.
+FILTER_WORDS = 1 << 19
 SCRAMBLE = 0x2545F4914F6CDD1D
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -167,6 +170,20 @@ def can_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool
     return 100 * both >= percent * (n + m - both)
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose key is in ids (rep), and some others: a filter of FILTER_WORDS words, so that no text is shuffled to find out.
+
+    The filter has a bit for each of 64 * FILTER_WORDS hashes. It lets all of ids through at any size, and more others the
+    more ids there are (a fourteenth at 2.5 million).
+    """
+
+    place = f"pmod(xxhash64({{}}), {64 * FILTER_WORDS}L)"
+    bit = f"shiftleft(1L, cast(pmod({place}, 64) as int))"
+    words = ids.groupBy(F.expr(f"shiftright({place.format('rep')}, 6)").alias("word")).agg(F.bit_or(F.expr(bit.format("rep"))).alias("bits"))
+    fits = f"word = shiftright({place.format('key')}, 6) and (bits & {bit.format('key')}) <> 0"
+    return docs.join(F.broadcast(words), F.expr(fits), "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union|. Only the texts of documents in pairs are read out."""
 
@@ -193,10 +210,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = docs.join(ids, "key", "left_semi").mapInArrow(sets, "rep long, class binary, n long, set binary, bits binary")
-    # Where rows repeat a key with other texts, the class's own text counts, once.
-    own = materialize(own.join(classes.select("rep", "class"), ["rep", "class"], "left_semi").dropDuplicates(["rep"]).select("rep", "n", "set", "bits"), "sets")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    own = _among(docs, ids).mapInArrow(sets, "rep long, class binary, n long, set binary, bits binary")
+    # Of rows that repeat a key, those with a text that the key represents count, once for each such text.
+    wanted = classes.select("rep", "class").join(ids, "rep", "left_semi")
+    own = materialize(own.join(wanted, ["rep", "class"], "left_semi").dropDuplicates(["rep", "class"]).select("rep", "n", "set", "bits"), "sets")
     a, b = (own.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
     bits = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = materialize(bits.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(bounded, "a long, b long"), "bounded")
@@ -256,7 +274,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     docs = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = materialize(_sketches(docs, size), "sketches")
     classes = rows.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    # One class a representative: a key that repeats with several texts represents one class and its others keep apart.
     classes = materialize(classes, "classes")
     buckets = _buckets(classes)
     # Leaders are the least by a scrambled order, so that they are not just the oldest documents.
@@ -281,7 +298,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         least = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
         return materialize(found.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")), "found")
 
-    found = classes.select("rep", F.col("rep").alias("component"))
+    # A key that represents several texts, since it repeats, is one node: a link of any of them is its link.
+    found = classes.select("rep", F.col("rep").alias("component")).distinct()
     found = merged(found, near_links_of(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
 
     placed = members.select("key", "rep").join(found, "rep")

@@ -67,6 +67,20 @@ def test_repeated_rows_and_null_keys(spark):
     assert len(rows) == 6 and {(r.doc_id, r.component_id, r.kept) for r in rows} == {(0, 0, True), (1, 1, True), (None, 0, False), (None, 1, False)}
 
 
+def test_one_key_with_several_texts(spark):
+    texts = [BASE, "quite another text here", BASE.replace("w7 ", "v7 "), "quite another text here"]
+    d = docs(spark, *texts).withColumn("doc_id", F.when(F.col("doc_id") < 2, 5).otherwise(F.col("doc_id") + 6).cast("long"))
+    rows = neardup.near_duplicates(d).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(5, 3, 5), (5, 39, 5), (8, 39, 5), (9, 3, 5)]
+
+
+def test_filter_of_keys_loses_none(spark):
+    d = docs(spark, *(["x"] * 300)).withColumn("key", F.col("doc_id"))
+    ids = d.where("key % 3 = 0").select(F.col("key").alias("rep"))
+    got = {r.key for r in neardup._among(d, ids).collect()}
+    assert got >= set(range(0, 300, 3)) and len(got) < 110
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
