@@ -241,6 +241,35 @@ def _(spark, d):
     return graph.callers(s, _few(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), 1).select("id", F.col("phase").cast("long").alias("phase"))
 
 
+# The same four over the whole imports view, with all imported names.
+_WHOLE = f"{IMPORTS}, few AS (SELECT source_file, resolved_file FROM imp)"
+
+
+def _whole_sql(name: str) -> str:
+    return ORACLES[name].replace(_SPARSE, _WHOLE).replace(" WHERE f.resolved_file % 3 = 0", "")
+
+
+@query("dependents_depth_whole", _whole_sql("dependents_depth"))
+def _(spark, d):
+    return graph.dependents(B.imports(spark, d), 1, 3)
+
+
+@query("dead_symbols_whole", _whole_sql("dead_symbols"))
+def _(spark, d):
+    return graph.dead_symbols(B.part_symbols(spark, d), B.imports(spark, d), limit=None).select("id", "classification", "confidence")
+
+
+@query("blast_radius_whole", _whole_sql("blast_radius"))
+def _(spark, d):
+    return graph.blast_radius(B.imports(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"), 1, "the", 2)
+
+
+@query("callers_whole", _whole_sql("callers"))
+def _(spark, d):
+    s = B.part_symbols(spark, d).withColumn("name", F.when(F.col("id") == 1, "of").otherwise(F.col("name")))
+    return graph.callers(s, B.imports(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), 1).select("id", F.col("phase").cast("long").alias("phase"))
+
+
 @query("word_counts", f"WITH {FILES} SELECT path, len(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda t: t = 'the')) AS refs FROM fil")
 def _(spark, d):
     return B.files(spark, d).select("path", T.word_hits(F.col("content"), "the").alias("refs"))
