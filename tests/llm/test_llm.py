@@ -228,6 +228,20 @@ def test_secrets(spark):
     assert masked[0].text == 'before token = "[SECRET]" after' and masked[0].n_chars == len(masked[0].text) and masked[1].text == texts[1]
 
 
+def test_long_secrets_are_taken_whole(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda k: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), k))
+    jwt, service, wide = f"eyJ{pick(40)}.{pick(500)}.{pick(86)}", pick(700), f"eyJ{pick(2500)}.{pick(3000)}.{pick(2500)}"
+    texts = [f"so token={jwt} end", f'so api_key = "{service}" end', f"so Bearer {wide} end"]
+    masked = {r.doc_id: r.text for r in secretscan.mask_secrets(docs(spark, *texts)).collect()}
+    assert masked == {0: "so token=[SECRET] end", 1: 'so api_key = "[SECRET]" end', 2: "so Bearer [SECRET] end"}
+    forest = secretscan.trained()
+    late, long = "q" * 70 + "7" + "w" * 20, "a1B2" * 200
+    assert [secretscan.find(f"so {v} 1 end", "web", forest)[0] for v in (late, long)] == [1, 1]
+    for odd in ("-eyJabcdefghijkl" * 40_000, "eyJ" + "a-eyJ.b" * 60_000, "a/" * 300_000, "token=" * 100_000):  # in linear time
+        secretscan.find(odd + " 1", "web", forest)
+
+
 def test_secrets_held_out():
     forest = secretscan.trained()
     x, y = secretscan.labelled_findings(600, seed=77)
