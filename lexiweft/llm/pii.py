@@ -6,7 +6,8 @@ kind. Where windows overlap, their scores are blended, with most weight to a win
 whole stretch of windows then settles all of them at once, so no span is cut or counted twice at a window's edge. A span
 of the model counts if it overlaps no base span and holds what its kind must hold (digits, a valid check sum, an at sign).
 
-Every kind needs a digit or an @, so a window without any is all outside by that last rule, and is not read.
+Every kind needs a digit, an @ or a spelled-out " at ", so a window without any is all outside by that last rule, and is not
+read.
 
 The model is trained in numpy, once a process, from labelled spans generated from a fixed seed: the four kinds in plain and
 disguised spellings, among prose, dates, versions, digests, amounts and other numbers.
@@ -34,7 +35,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(?P<at>@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]| at ")
 WINDOW, STRIDE = 96, 48
 #: Characters of a training window; the network is recurrent, so it need not be WINDOW.
 TRAIN_CHARS = 64
@@ -266,7 +267,7 @@ def labelled_windows(n: int = 2400, seed: int = 23) -> list[tuple[str, list[tupl
 
     def email() -> str:
         local = rng.choice([word(), word() + "." + word(), word() + dig(2), word() + "_" + word(), word() + "." + dig(2)])
-        return rng.choice([f"{local}@{host()}", f"{local}@{host()}", f"{local} @ {host()}", f"{local}[@]{host()}", f"{local}(@){host()}", f"{local}@{host().replace('.', ' . ')}", f"{local}@{host().replace('.', '[.]')}", local + dig(2) + " at " + host().replace(".", " dot ")])
+        return rng.choice([f"{local}@{host()}", f"{local}@{host()}", f"{local} @ {host()}", f"{local}[@]{host()}", f"{local}(@){host()}", f"{local}@{host().replace('.', ' . ')}", f"{local}@{host().replace('.', '[.]')}", local + dig(2) + " at " + host().replace(".", " dot "), *(f"{local} at {h.replace('.', ' dot ')}" for h in (host(), host(), host()))])
 
     def ip() -> str:
         sep = rng.choice([".", ".", ".", "[.]", " . ", "(.)", ","])
@@ -294,16 +295,21 @@ def labelled_windows(n: int = 2400, seed: int = 23) -> list[tuple[str, list[tupl
             if pick < 0.2:
                 k = rng.randrange(4)
                 s = makers[k]()
+                text += rng.choice(["", "", "to ", word() + " "]) if k == 0 else ""
                 spans.append((k, len(text), len(text) + len(s)))
                 text += s
             elif pick < 0.32:
                 text += other()
+            elif pick < 0.36:  # in prose, the words that spell emails out
+                text += rng.choice([f"{word()} at {rng.choice([word, host])()}", f"{word()} to", f"{word()} dot", "do"])
             else:
                 text += style(word()) + rng.choice(["", "", "", ",", ".", "###", "!!", "$$$", " |"])
             text += rng.choice([" ", " ", " ", " ", ". ", "\n"])
         cut = rng.randrange(0, 24)
         text = text[cut : cut + TRAIN_CHARS]
         spans = [(k, max(0, a - cut), min(b - cut, len(text))) for k, a, b in spans if b - cut > 0 and a - cut < len(text)]
+        if spans and rng.random() < 0.15:  # a text that ends with a span
+            text = text[: spans[-1][2]]
         # What the cut leaves of a span is none.
         out.append((text, [s for s in spans if s[2] - s[1] > 6]))
     return out

@@ -208,6 +208,17 @@ def test_personal_data_held_out():
     assert np.mean([(p == t).mean() for p, t in zip(paths, y)]) > 0.95
 
 
+def test_spelled_out_emails_without_digits():
+    model = pii.trained()
+    own = [f"{n} at {h}" for n in ("olga.stein", "rahul", "maria_lopez", "office", "t.weber") for h in ("northwind dot com", "post dot uni dot de", "garden dot org", "shop dot net")]
+    texts = [f"{p}{e}{q}" for e in own for p in ("send it to ", "bitte an ", "") for q in (" for help", "")]
+    found = pii.spans_of(texts, model)
+    hit = [any(t[a:b] in own for a, b in spans[0]) for t, (_, spans) in zip(texts, found)]
+    assert np.mean(hit) > 0.9
+    prose = ["they looked at the house and went home", "see the list at garden.org for news", "she was at home at noon", "it fell at dusk. then it rained"]
+    assert not any(spans[0] for _, spans in pii.spans_of(prose, model))
+
+
 def test_base_patterns_equal_plain_ones():
     rng = np.random.default_rng(8)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
