@@ -136,10 +136,10 @@ def slot_blocks(spark: SparkSession, quota: list[int], blocks: list[int], shard_
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 7, **options) -> DataFrame:
     """docs, each row as often as the mix takes it: the whole part of taken / size, and once more with the probability of
     the rest, by a hash of key and seed. Rows without words, of which nothing can be taken, go."""
-    taken = mix(docs, text, key, source, seed=seed, **options).where("taken > 0").groupBy(key).agg((F.sum("taken") / F.sum("size")).alias("_times"))
+    taken = mix(docs, text, key, source, seed=seed, **options).where("taken > 0").groupBy(key).agg((F.sum("taken") / F.sum("size")).alias("_times")).withColumnRenamed(key, "_key")
     luck = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("_times") + luck).cast("int")
-    return docs.join(taken, key).withColumn("_n", copies).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    return docs.join(taken, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_n", copies).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

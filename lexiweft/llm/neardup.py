@@ -320,9 +320,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: the one of least key. Rows that repeat a kept key go too, down to one."""
-    kept = near_duplicates(docs, text, key, size, percent).where("kept").select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    """docs with one row of each group of texts: the one of least key, null last. Rows without words stay.
+
+    Where keys are null or repeat, rows have a number of their own instead, so that a key neither drops a row nor stands for others.
+    """
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    if n == distinct:
+        kept = near_duplicates(docs, text, key, size, percent).where("kept").select(key)
+        return docs.join(kept, key, "left_semi").select(docs.columns)
+    own = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(own, text, "_row", size, percent).select("_row", "component_id").join(own.select("_row", F.col(key).alias("_key")), "_row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_row")))["_row"].alias("_row"))
+    return own.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

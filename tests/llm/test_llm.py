@@ -208,6 +208,16 @@ def test_personal_data_held_out():
     assert np.mean([(p == t).mean() for p, t in zip(paths, y)]) > 0.95
 
 
+def test_rows_with_null_and_repeated_keys_stay(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    d = spark.createDataFrame([(None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (8, say("d")), (9, say("a")), (9, ""), (3, say("e")), (3, say("e"))], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    kept = neardup.drop_near_duplicates(d, size=5)
+    assert kept.columns == d.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(9, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (9, ""), (3, say("e"))], key=str)
+    assert {r.text for r in mixing.mixed_documents(kept).collect() if r.doc_id is None} == {say("b")}
+
+
 def test_spelled_out_emails_without_digits():
     model = pii.trained()
     own = [f"{n} at {h}" for n in ("olga.stein", "rahul", "maria_lopez", "office", "t.weber") for h in ("northwind dot com", "post dot uni dot de", "garden dot org", "shop dot net")]
