@@ -354,8 +354,7 @@ def _(spark, d):
 
 @query("summaries", f"WITH {LINES}, j AS (SELECT path, string_agg(trim(text, ' ' || chr(9) || chr(13)), ' ' ORDER BY line) AS t FROM lin WHERE line <= 1 GROUP BY path), s AS (SELECT path, CASE WHEN regexp_extract(t, '^(.*?[.])\\s', 1) <> '' THEN regexp_extract(t, '^(.*?[.])\\s', 1) ELSE t END AS s FROM j) SELECT path, CASE WHEN length(s) > 120 THEN left(s, 117) || '...' ELSE s END AS summary FROM s")
 def _(spark, d):
-    first = B.lines(spark, d).where("line = 1")
-    return first.select("path", T.summarize(F.col("text")).alias("summary"))
+    return B.files(spark, d).where("content is not null").select("path", T.summarize(F.col("content")).alias("summary"))
 
 
 _SNAP = f"{FILES}, st AS (SELECT path, size_bytes AS size, doc_id AS mtime, hash FROM fil WHERE doc_id % 7 <> 0), di AS (SELECT path, size_bytes AS size, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE hash END AS hash FROM fil WHERE doc_id % 11 <> 0)"
