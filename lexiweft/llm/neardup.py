@@ -1,16 +1,18 @@
 """Near-duplicate documents: MinHash signatures, a multi-index Hamming join, links confirmed on full shingle sets.
 
 Two-word shingles of the lower-cased text are hashed to 64 bits; documents with the same set are one class from then on.
-A class has a signature of CHUNKS x WIDTH values of 16 bits, where two values agree with the probability of the sets'
-Jaccard similarity. If two signatures differ in at most 2 * CHUNKS - 1 values, then by pigeonhole some chunk has at most
-one that differs; a chunk's key with each one of its values left out, WIDTH keys a chunk, therefore meets every such pair
-in some bucket. At a similarity of 0.8 a chunk meets with probability 0.655, so all nine miss a pair with 7e-5.
-
-Buckets are not expanded into pairs. First each member is paired with its bucket's leader, which links most of any
-large group. Only buckets whose members are still of several components after that are looked at again: members outside
-the bucket's largest component are paired with those of other components, where parities of the sets do not rule a link
-out. A link inside a component changes nothing, so none is lost. Candidates that bitmaps of the sets do not rule out
-either are confirmed on the full sets; both bounds are exact.
+A class has a signature of CHUNKS x WIDTH values of BITS bits, where two values agree with the probability of the sets'
+Jaccard similarity. A chunk's values lie side by side in one long, so signatures are compared by SQL. If two signatures
+differ in at most 2 * CHUNKS - 1 values, then by pigeonhole some chunk has at most one that differs; a chunk's key with each
+one of its values left out, WIDTH keys a chunk, therefore meets every such pair in some bucket. At a similarity of 0.8 a
+chunk meets with probability 0.655, so all nine miss a pair with 7e-5.
+
+Buckets are not expanded into pairs. Each member is paired with its bucket's leader, which links most of any large group.
+Then, in buckets whose members are still of several components, those outside the largest are paired with one member of
+it. Only in what is still apart after that are members outside the bucket's largest component paired with those of
+other components: each pair in the first bucket that it shares, and where sizes, signatures and parities of the sets do
+not rule a link out. A link inside a component changes nothing, so none is lost. Candidates that bitmaps of the sets do
+not rule out either are confirmed on the full sets; the bounds by sizes, parities and bitmaps are exact.
 
 Contract: one row per input row. Null, empty and blank texts have no shingles, link with nothing and are their own
 component. A text of one word has that word as its only shingle. Repeated rows repeat, in one component. Where a
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 
 from ._common import column, materialize, slices, table
 
-CHUNKS, WIDTH = 9, 6
+CHUNKS, WIDTH, BITS = 9, 6, 10
 VALUES = CHUNKS * WIDTH
 #: Signatures of links at 0.8 differ in more values than this with probability 1e-6.
 MOST_DIFFERENT = 26
-#: Of two bits of each value, links at 0.8 differ in more than this with probability 1e-6; unlike sets in about 36.
-MOST_SKETCH = 22
-PAIRS_OF_BITS = 0x1555555555555555
+#: Of each value of a chunk, all bits but the highest, and the highest.
+LOW = sum(((1 << (BITS - 1)) - 1) << (BITS * k) for k in range(WIDTH))
+HIGH = sum(1 << (BITS * k + BITS - 1) for k in range(WIDTH))
 #: Bits of a set's parities.
 PARITIES = 512
 #: Words of 64 bits of the filter of keys, which bounds its broadcast: 2^19 rows of two longs.
@@ -82,73 +84,68 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The lowest 16 bits of the least of each permutation."""
+    """CHUNKS longs: BITS bits of the least of each permutation, WIDTH side by side."""
     least = np.full(len(a), np.uint64(2**64 - 1))
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096, None] * a + b
         part ^= part >> np.uint64(32)
         least = np.minimum(least, part.min(axis=0))
-    return _mix(least).astype(np.uint16)
+    values = (_mix(least) & np.uint64((1 << BITS) - 1)).reshape(CHUNKS, WIDTH)
+    return (values << np.arange(0, BITS * WIDTH, BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def keys_of(signatures: np.ndarray) -> np.ndarray:
-    """For n signatures, an n x VALUES array of bucket keys: each chunk with each one of its values left out."""
-    n = len(signatures)
-    chunks = signatures.reshape(n, CHUNKS, WIDTH).astype(np.uint64)
-    out = np.empty((n, CHUNKS, WIDTH), np.uint64)
-    for left_out in range(WIDTH):
-        h = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out) + np.uint64(1), (n, CHUNKS)) * _M1
-        for k in range(WIDTH):
-            if k != left_out:
-                h = _mix(h * _M1 + chunks[:, :, k] + np.uint64(1))
-        out[:, :, left_out] = h
-    return out.reshape(n, VALUES)
+WORDS = [*(f"c{k}" for k in range(CHUNKS)), *(f"o{k}" for k in range(PARITIES // 64))]
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """key, n, class (a digest of the set), sig, odd for each row."""
+    """key, n, class (a digest of the set), c0 .. c8 (the signature), o0 .. o7 (the parities) for each row."""
 
     def run(batches):
-        shingler, (a, b) = Shingler(size), _coefficients()
+        shingler, (a, b), none = Shingler(size), _coefficients(), np.zeros(len(WORDS), np.int64)
         for batch in slices(batches):
-            n, classes, sigs, odd = [], [], [], []
+            n, classes, words = [], [], []
             for text in column(batch, "text").to_pylist():
                 s = shingler.of(text)
                 n.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s, a, b).tobytes() if len(s) else None)
-                odd.append(parities(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(odd, pa.binary())], ["key", "n", "class", "sig", "odd"])
+                words.append(np.concatenate([signature(s, a, b), parities(s).view(np.int64)]) if len(s) else none)
+            words = np.array(words, np.int64).reshape(-1, len(WORDS))
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), *(pa.array(words[:, k]) for k in range(len(WORDS)))], ["key", "n", "class", *WORDS])
 
-    return docs.mapInArrow(run, "key long, n long, class binary, sig binary, odd binary")
+    return docs.mapInArrow(run, "key long, n long, class binary, " + ", ".join(f"{c} long" for c in WORDS))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, rep: VALUES rows for each class."""
+    """v, key, rep: VALUES rows for each class, one for each chunk with one of its values (v of all) left out."""
+    keys = [F.expr(f"xxhash64({v}, c{v // WIDTH} & {~(((1 << BITS) - 1) << (BITS * (v % WIDTH)))}L)") for v in range(VALUES)]
+    return classes.select(F.posexplode(F.array(*keys)).alias("v", "key"), "rep")
 
-    def run(batches):
-        for batch in slices(batches, most_rows=5_000):
-            sig = column(batch, "sig")
-            keys = keys_of(np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(len(sig), VALUES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(column(batch, "rep").to_numpy(zero_copy_only=False), VALUES))], ["key", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+def _apart(k: int) -> str:
+    """SQL: how many values of chunk k of x and y differ."""
+    z = f"(x.c{k} ^ y.c{k})"
+    return f"bit_count(((({z} & {LOW}L) + {LOW}L) | {z}) & {HIGH}L)"
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link and whose signatures differ in at most MOST_DIFFERENT values."""
+def _can_link(percent: int) -> str:
+    """SQL: sizes, signatures and parities of x and y allow a link.
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint16).reshape(-1, VALUES) for c in ("sa", "sb"))
-            keep = pa.array((x != y).sum(axis=1) <= MOST_DIFFERENT)
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
+    Sizes and parities are exact: sets differ in at least as many shingles as parities. Signatures are not, with 1e-6.
+    """
+    odd = " + ".join(f"bit_count(x.o{k} ^ y.o{k})" for k in range(PARITIES // 64))
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {' + '.join(map(_apart, range(CHUNKS)))} <= {MOST_DIFFERENT} and {100 + percent} * ({odd}) <= {100 - percent} * (x.n + y.n)"
 
-    a, b = (classes.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def _first_bucket() -> str:
+    """SQL: of all buckets that x and y share, this one (x.v) is the first."""
+    first = " ".join(f"when {_apart(k)} = 0 then x.v = {WIDTH * k} when {_apart(k)} = 1 then x.v div {WIDTH} = {k}" for k in range(CHUNKS))
+    return f"case {first} else false end"
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link."""
+    x, y = (classes.select(F.col("rep").alias(c), "n", *WORDS).alias(t) for c, t in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_can_link(percent)).select("a", "b")
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -222,20 +219,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _words(classes: DataFrame) -> DataFrame:
-    """rep, n, w0, w1 (two bits of each value of the signature), o0 .. o7 (the parities) as longs."""
-    names = ["w0", "w1", *(f"o{k}" for k in range(PARITIES // 64))]
-
-    def run(batches):
-        for batch in slices(batches, most_rows=5_000):
-            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(-1, 2, VALUES // 2).astype(np.int64)
-            odd = np.frombuffer(b"".join(column(batch, "odd").to_pylist()), np.int64).reshape(-1, PARITIES // 64)
-            words = np.column_stack([((sig & 3) << np.arange(0, VALUES, 2)).sum(axis=2), odd])
-            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "n"), *(pa.array(words[:, k]) for k in range(len(names)))], ["rep", "n", *names])
-
-    return classes.select("rep", "n", "sig", "odd").mapInArrow(run, "rep long, n long, " + ", ".join(f"{c} long" for c in names))
-
-
 def parities(shingles: np.ndarray) -> np.ndarray:
     """Whether the number of shingles of each of PARITIES classes is odd, packed.
 
@@ -244,37 +227,30 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8))
 
 
-def _sketches_alike() -> str:
-    """SQL: the sketches of x and y differ little enough."""
-    return " + ".join(f"bit_count(((x.w{k} ^ y.w{k}) | shiftrightunsigned(x.w{k} ^ y.w{k}, 1)) & {PAIRS_OF_BITS})" for k in range(2)) + f" <= {MOST_SKETCH}"
-
-
-def _parities_alike(percent: int) -> str:
-    """SQL: the sets of x and y can link by their parities; exact, since no link differs in more shingles."""
-    odd = " + ".join(f"bit_count(x.o{k} ^ y.o{k})" for k in range(PARITIES // 64))
-    return f"{100 + percent} * ({odd}) <= {100 - percent} * (x.n + y.n)"
-
-
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the least id that can be reached) of all ids in links (a, b), by label hooking and pointer jumping."""
+    """id, component (the least id that can be reached) of all ids in links (a, b).
+
+    In each round a node takes the least label among its own, its neighbours' and its label's, so labels travel twice as far
+    from round to round.
+    """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "edges")
     labels = materialize(edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")), "labels")
     while True:
-        lower = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        hooked = labels.join(lower, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        hooked = materialize(hooked, "labels")
-        jumped = hooked.join(hooked.select(F.col("u").alias("label"), F.col("label").alias("next")), "label", "left")
-        labels = materialize(jumped.select("u", F.coalesce("next", "label").alias("label"), "old"), "labels")
+        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        over = labels.select(F.col("u").alias("label"), F.col("label").alias("over"))
+        after = labels.join(near, "u").join(over, "label").select("u", F.least("label", "near", "over").alias("label"), F.col("label").alias("old"))
+        labels = materialize(after, "labels")
         if labels.where("label <> old").limit(1).count() == 0:
             return labels.select(F.col("u").alias("id"), F.col("label").alias("component"))
+        labels = labels.drop("old")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 2, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id, kept; docs link with 100 * |intersection| >= percent * |union| of shingle sets."""
     docs = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = materialize(_sketches(docs, size), "sketches")
-    classes = rows.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    classes = materialize(classes, "classes")
+    same = [F.first(c).alias(c) for c in ("n", *WORDS)]
+    classes = materialize(rows.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep"), *same), "classes")
     buckets = _buckets(classes)
     # Leaders are the least by a scrambled order, so that they are not just the oldest documents.
     order = F.col("rep").bitwiseXOR(F.lit(SCRAMBLE))
@@ -282,36 +258,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     leaders = leaders.select("key", F.col("leader").bitwiseXOR(F.lit(SCRAMBLE)).alias("leader"))
     members = materialize(buckets.join(leaders, "key"), "buckets")
 
-    def distinct(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(pairs, docs, classes, size, percent), "links")
-
-    def near_links_of(pairs: DataFrame) -> DataFrame:
-        return links_of(materialize(_near(distinct(pairs), classes, percent), "near"))
-
-    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-        """found (rep, component) with components joined by links; components stand for their members, so the edges are few."""
+    def linked(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        """found (rep, component) with components joined by the links among pairs (a, b); components stand for their members, so the edges are few."""
+        links = materialize(_confirmed(pairs, docs, classes, size, percent), "links")
         of = [found.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
         joint = links.join(of[0], "a").join(of[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         least = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
         return materialize(found.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")), "found")
 
+    def near(pairs: DataFrame) -> DataFrame:
+        return materialize(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent), "near")
+
+    def still_apart(found: DataFrame) -> DataFrame:
+        """v, key, rep, component, main, one: members of buckets of several components, with the largest, and one member of that."""
+        placed = members.select("v", "key", "rep").join(found, "rep")
+        other = F.xxhash64("rep", F.lit(SCRAMBLE))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"), F.min(F.struct(other, "rep"))["rep"].alias("one"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component", "one")).alias("most")).where("parts > 1")
+        return placed.join(mixed.select("key", F.col("most.component").alias("main"), F.col("most.one").alias("one")), "key")
+
     # A key that represents several texts, since it repeats, is one node: a link of any of them is its link.
     found = classes.select("rep", F.col("rep").alias("component")).distinct()
-    found = merged(found, near_links_of(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
-
-    placed = members.select("key", "rep").join(found, "rep")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
-    split = materialize(placed.join(mixed, "key").join(_words(classes), "rep"), "mixed")
+    found = linked(found, near(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))))
+    found = linked(found, near(still_apart(found).where("component <> main").select(F.col("rep").alias("a"), F.col("one").alias("b"))))
+
+    # Of the texts that a key represents, the one that is in the bucket.
+    own = F.expr(f"key = xxhash64(v, element_at(array({', '.join(WORDS[:CHUNKS])}), int(v div {WIDTH}) + 1) & ~shiftleft({(1 << BITS) - 1}L, {BITS} * (v % {WIDTH})))")
+    split = materialize(still_apart(found).join(classes.select("rep", "n", *WORDS), "rep").where(own), "mixed")
+    # Columns that cannot be null keep the join's code small enough to be compiled.
+    split = split.select(*[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in split.drop("one").dtypes])
     x, y = split.where("component <> main").alias("x"), split.alias("y")
     # Both from outside the main component: once is enough.
-    apart = "x.key = y.key and x.component <> y.component and (y.component = y.main or x.rep < y.rep)"
-    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_sketches_alike()} and {_parities_alike(percent)}"
-    pairs = x.join(y, F.expr(f"{apart} and {alike}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    found = merged(found, links_of(distinct(pairs)))
+    pair = "x.key = y.key and x.component <> y.component and (y.component = y.main or x.rep < y.rep)"
+    pairs = x.join(y, F.expr(f"{pair} and {_can_link(percent)} and {_first_bucket()}")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    found = linked(found, materialize(pairs, "pairs"))
 
     of_class = classes.select("class", "rep").join(found, "rep").select("class", "component")
     out = rows.select("key", "n", "class").join(of_class, "class", "left")
