@@ -15,7 +15,9 @@ import hashlib
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,27 +156,30 @@ class TrieBpe:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[TrieBpe, P.ChunkCache]:
+def _encoder(path: str) -> tuple[TrieBpe, P.Encoded]:
     bpe, pre = TrieBpe(path), P.pretokens(path)
+    shown = {i: str(i) for i in bpe.name}
 
-    def encode(words: list[str]) -> dict[str, tuple]:
+    def encode(words: list[str]) -> list[tuple]:
         special = {w: (1, str(pre.specials[w]), w) for w in words if w in pre.specials}
-        plain = bpe.encode([w for w in words if w not in special])
-        return special | {w: (len(i), " ".join(map(str, i)), " ".join([bpe.name[x] for x in i])) for w, i in plain.items()}
+        plain = bpe.encode([w for w in words if w and w not in special] if special else [w for w in words if w])
+        plain[""] = []
+        return [special.get(w) or (len(ids := plain[w]), " ".join([shown[i] for i in ids]), " ".join([bpe.name[i] for i in ids])) for w in words]
 
-    def join(values: list[tuple]) -> tuple:
-        return values[0] if len(values) == 1 else (sum(v[0] for v in values), " ".join([v[1] for v in values]), " ".join([v[2] for v in values]))
+    return bpe, P.Encoded(pre, encode)
 
-    return bpe, P.ChunkCache(pre, encode, join)
 
-
-def encode_texts(texts: list[str | None], path: str) -> list[tuple[int, str, str]]:
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """For each text: number of tokens, ids joined by spaces, decoded text."""
     _, cache = _encoder(path)
-    out: list[tuple[int, str, str]] = []
-    for chunks in cache.of([t or "" for t in texts]):
-        out.append((sum([c[0] for c in chunks]), " ".join([c[1] for c in chunks if c[0]]), " ".join([c[2] for c in chunks if c[0]])))
-    return out
+    offsets, at, values = cache.of(texts)
+    count = np.array([v[0] for v in values], np.int64)
+    full = count[at] > 0
+    at, offsets = at[full], np.r_[0, np.cumsum(full)][offsets]
+    n = np.diff(np.r_[0, np.cumsum(count[at])][offsets])
+    places = pa.array(at)
+    ids, decoded = (pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([v[k] for v in values], pa.string()).take(places)), " ") for k in (1, 2))
+    return n, ids, decoded
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -183,12 +188,9 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text", ke
 
     def run(batches):
         for batch in slices(batches):
-            n, ids, decoded = [], [], []
-            for count, i, d in encode_texts(column(batch, "text").to_pylist(), file):
-                n.append(count)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *both = encode_texts(column(batch, "text"), file)
+            digests = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in of.cast(pa.binary())], pa.string()) for of in both]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n), *digests], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     return source.mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
@@ -200,8 +202,8 @@ def bpe_ids(docs: DataFrame, path: str | None = None, text: str = "text", key: s
 
     def run(batches):
         for batch in slices(batches):
-            rows = encode_texts(column(batch, "text").to_pylist(), file)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([[int(x) for x in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], ["key", "ids", "decoded"])
+            _, ids, decoded = encode_texts(column(batch, "text"), file)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([[int(x) for x in i.split()] for i in ids.to_pylist()], pa.list_(pa.int32())), decoded], ["key", "ids", "decoded"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     return source.mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,21 +82,22 @@ class LongestMatch:
 
 
 @lru_cache(maxsize=2)
-def _counter(path: str) -> tuple[LongestMatch, P.ChunkCache]:
+def _counter(path: str) -> tuple[LongestMatch, P.Encoded]:
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
     match = LongestMatch([symbols(t[: -len(END)]) if t.endswith(END) else t for t in vocab])
     pre = P.pretokens(path)
 
-    def encode(words: list[str]) -> dict[str, int]:
-        return {w: 1 if w in pre.specials else match.count(symbols(w)) for w in words}
+    def encode(words: list[str]) -> list[tuple[int, int]]:
+        return [(1, 1 if w in pre.specials else match.count(symbols(w))) if w else (0, 0) for w in words]
 
-    return match, P.ChunkCache(pre, encode, lambda values: (len(values), sum(values)))
+    return match, P.Encoded(pre, encode)
 
 
-def count_texts(texts: list[str | None], path: str) -> list[tuple[int, int]]:
-    """For each text: pre-tokens, tokens."""
+def count_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """Of each text: pre-tokens, tokens."""
     _, cache = _counter(path)
-    return [(sum([c[0] for c in chunks]), sum([c[1] for c in chunks])) for chunks in cache.of([t or "" for t in texts])]
+    offsets, at, values = cache.of(texts)
+    return [np.diff(np.r_[0, np.cumsum(np.array([v[k] for v in values], np.int64)[at])][offsets]) for k in (0, 1)]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -104,8 +106,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", k
 
     def run(batches):
         for batch in slices(batches):
-            rows = count_texts(column(batch, "text").to_pylist(), file)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["key", "n_pretokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), *map(pa.array, count_texts(column(batch, "text"), file))], ["key", "n_pretokens", "n_tokens"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     return source.mapInArrow(run, "key long, n_pretokens long, n_tokens long").withColumnRenamed("key", key)
