@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
     A lost executor then costs a reread of files, not a recomputation of the job so far.
     """
     path = f"{shared_dir(df.sparkSession)}/lexiweft/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +52,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session has a bound of its own: rows may be very long.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of bounded bytes."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -61,3 +75,4 @@ def slices(batches, most_bytes: int = 6_000_000, most_rows: int = 2_000):
         step = max(1, min(most_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
