@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _pretokens as P
-from ._common import column, slices, table
+from ._common import column, in_arrow, slices, table
 
 END = "</w>"
 #: Tokens up to this long are looked up together, by the last characters of a prefix.
@@ -193,7 +193,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n), *digests], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return source.mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return in_arrow(source, run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def bpe_ids(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,7 +206,7 @@ def bpe_ids(docs: DataFrame, path: str | None = None, text: str = "text", key: s
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([[int(x) for x in i.split()] for i in ids.to_pylist()], pa.list_(pa.int32())), decoded], ["key", "ids", "decoded"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return source.mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return in_arrow(source, run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

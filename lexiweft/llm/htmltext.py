@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import column, slices, table
+from ._common import column, in_arrow, slices, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>?|[^<]++|<", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -362,7 +362,7 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", url: s
             yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     picked = pages.select(pages[key].cast("long").alias("key"), pages[url].cast("string").alias("url"), pages[html].alias("html"))
-    return picked.mapInArrow(run, "key long, url string, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
+    return in_arrow(picked, run, "key long, url string, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import column, materialize, table, word_count
+from ._common import column, in_arrow, materialize, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -130,7 +130,7 @@ def slot_blocks(spark: SparkSession, quota: list[int], blocks: list[int], shard_
             block = permute(k % n, n, (seed + 1 + s) * 8 + k // n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot // shard_slots), pa.array(s.astype(np.int32)), pa.array(block)], ["shard", "s", "block"])
 
-    return spark.range(n_slots).mapInArrow(run, "shard long, s int, block long")
+    return in_arrow(spark.range(n_slots), run, "shard long, s int, block long")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 7, **options) -> DataFrame:

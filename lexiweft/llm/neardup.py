@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, materialize, slices, table
+from ._common import column, in_arrow, materialize, slices, table
 
 CHUNKS, WIDTH, BITS = 9, 6, 10
 VALUES = CHUNKS * WIDTH
@@ -112,7 +112,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             words = np.array(words, np.int64).reshape(-1, len(WORDS))
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), *(pa.array(words[:, k]) for k in range(len(WORDS)))], ["key", "n", "class", *WORDS])
 
-    return docs.mapInArrow(run, "key long, n long, class binary, " + ", ".join(f"{c} long" for c in WORDS))
+    return in_arrow(docs, run, "key long, n long, class binary, " + ", ".join(f"{c} long" for c in WORDS))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -208,15 +208,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
-    own = _among(docs, ids).mapInArrow(sets, "rep long, class binary, n long, set binary, bits binary")
+    own = in_arrow(_among(docs, ids), sets, "rep long, class binary, n long, set binary, bits binary")
     # Of rows that repeat a key, those with a text that the key represents count, once for each such text.
     wanted = classes.select("rep", "class").join(ids, "rep", "left_semi")
     own = materialize(own.join(wanted, ["rep", "class"], "left_semi").dropDuplicates(["rep", "class"]).select("rep", "n", "set", "bits"), "sets")
     a, b = (own.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
     bits = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = materialize(bits.select("a", "b", "ba", "bb", "na", "nb").mapInArrow(bounded, "a long, b long"), "bounded")
+    pairs = materialize(in_arrow(bits.select("a", "b", "ba", "bb", "na", "nb"), bounded, "a long, b long"), "bounded")
     a, b = (own.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import column, slices, table
+from ._common import column, in_arrow, slices, table
 
 KINDS = ["email", "ip", "card", "phone"]
 # Runs are taken whole, without trying again from inside one: what fails from its start fails from every later place.
@@ -423,7 +423,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([column(batch, "key"), *counts, pa.array(digests, pa.string()), pa.array([joined(a) for _, a in found], pa.string())], ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     picked = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return picked.mapInArrow(run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
+    return in_arrow(picked, run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _pretokens as P
-from ._common import column, slices, table
+from ._common import column, in_arrow, slices, table
 
 END = "</w>"
 #: Added to a character's code to mark it as the last of a word.
@@ -109,7 +109,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", k
             yield pa.RecordBatch.from_arrays([column(batch, "key"), *map(pa.array, count_texts(column(batch, "text"), file))], ["key", "n_pretokens", "n_tokens"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return source.mapInArrow(run, "key long, n_pretokens long, n_tokens long").withColumnRenamed("key", key)
+    return in_arrow(source, run, "key long, n_pretokens long, n_tokens long").withColumnRenamed("key", key)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
