@@ -1,10 +1,12 @@
 """Quality rules: base counts of each text, and robust multivariate outliers among texts of one language and source.
 
-Each text gives a vector of transformed statistics. For each language and source, the centre and covariance are estimated
-by minimum covariance determinant: start from medians and absolute deviations, then take the half_set share of rows that
-is nearest, estimate again from these alone, and repeat (C-steps). A text is rejected when its squared Mahalanobis
-distance, scaled so that the median row lies where the chi-squared median is, exceeds the cutoff. Groups of under min_rows
-rows take the estimates of their language, or else of all rows.
+Each text gives a vector of transformed statistics, shrunk towards those of a plain text so that short texts do not vary
+more than long ones. For each language and source, the centre and covariance are estimated by minimum covariance
+determinant: from three starts (medians and absolute deviations, with three ways to sum deviations up), take the half_set
+share of rows that is nearest, estimate again from these alone, and repeat (C-steps) until the determinant no longer falls; of
+the starts, the one with the least determinant counts. A text is rejected when its squared Mahalanobis distance, scaled so
+that the median row lies no farther than the chi-squared median, exceeds the chi-squared quantile `cutoff`. Groups of under
+min_rows rows take the estimates of their language, or else of all rows.
 
 DataFrame functions only. The C-steps read a written table of counts, not the texts. Quantiles are Spark's approximate
 ones, whose memory does not grow with the group; the covariances are sums, so a group may hold any share of the rows.
@@ -24,9 +26,14 @@ from ._common import let, materialize, table, words_of
 
 #: The chi-squared median with 4 degrees of freedom, to which distances are scaled.
 CHI2_MEDIAN_4 = 3.3567
+#: Its quantile at 99.995 %.
+CHI2_FAR_4 = 25.0
 FEATURES = ["word_length", "symbol_density", "dup_line_share", "repeat_share"]
-#: Smallest standard deviation that a feature is taken to have: many groups have no spread at all in some.
-FLOOR = [0.4, 0.35, 0.08, 0.08]
+#: The least standard deviation that a feature is taken to have: most groups have hardly any spread in the last three.
+FLOOR = [0.2, 0.3, 0.08, 0.08]
+#: Words, lines and symbol-free characters of plain text that each text is taken to have besides its own.
+PLAIN_WORDS, PLAIN_LINES, PLAIN_CHARS, PLAIN_LENGTH = 100, 5, 500, 6
+STARTS = 3
 WINDOW = 8
 
 
@@ -63,12 +70,12 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features() -> Column:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    n = F.col("n_words") + PLAIN_WORDS
     return F.array(
-        F.col("word_chars") / n,
-        F.log1p(200 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        F.col("n_repeat_words") / n,
+        (F.col("word_chars") + PLAIN_WORDS * PLAIN_LENGTH) / n,
+        F.log1p(200 * F.col("n_symbols") / (F.col("word_chars") + PLAIN_CHARS)),
+        F.col("n_dup_lines") / (F.col("n_lines") + PLAIN_LINES),
+        F.col("n_repeat_words") / (F.col("n_words") + PLAIN_WORDS / 2),
     )
 
 
@@ -110,7 +117,7 @@ def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame
     return salted.join(spread, [*on, "_salt"], "left").drop("_salt")
 
 
-def fit_mcd(stats: DataFrame, half_set: float = 0.75, steps: int = 2, min_rows: int = 50, accuracy: int = 1000) -> DataFrame:
+def fit_mcd(stats: DataFrame, half_set: float = 0.75, most_steps: int = 12, min_rows: int = 50, accuracy: int = 1000) -> DataFrame:
     """The estimates: a row for each (lang, source) of stats with mean and low (the scaled covariance's factor, by rows).
 
     stats: lang, source and the counts of base_stats. Rows that fail the base rules take no part.
@@ -121,23 +128,35 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, steps: int = 2, min_rows:
     # A row takes part in its own group and in the wider ones that small groups lean on.
     rows = used.select(F.concat(F.lit("="), F.coalesce("lang", F.lit("\0"))).alias("l"), F.concat(F.lit("="), F.coalesce("source", F.lit("\0"))).alias("s"), "x")
     rows = rows.select(F.explode(F.array(*[F.struct(a.alias("g_lang"), b.alias("g_source")) for a, b in ((F.col("l"), F.col("s")), (F.col("l"), F.lit("*")), (F.lit("*"), F.lit("*")))])).alias("g"), "x").select("g.*", "x")
-    centre = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile_approx(F.col("x")[i], 0.5, accuracy).alias(n) for i, n in enumerate(names)])
-    spread = _with_groups(rows, centre.select(*key, F.array(*names).alias("m")), key).groupBy(key).agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("m")[i]), 0.5, accuracy).alias(n) for i, n in enumerate(names)])
+    centre = materialize(rows.groupBy(key).agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, accuracy) for i in range(d)]).alias("mean")), "mcd")
+    spread = _with_groups(rows, centre, key).groupBy(key).agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, accuracy).alias(n) for i, n in enumerate(names)])
     # The first estimate: medians, and deviations as a diagonal factor.
-    deviation = [F.greatest(1.4826 * F.col(f"s.{n}"), F.lit(f)) for n, f in zip(names, FLOOR)]
-    start = centre.alias("c").join(spread.alias("s"), key).select(*key, F.array(*[F.col(f"c.{n}") for n in names]).alias("mean"), F.array(*[deviation[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("low"))
+    deviation = [F.greatest(1.4826 * F.col(n), F.lit(f)) for n, f in zip(names, FLOOR)]
+    diagonal = F.array(*[deviation[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
+    start = centre.join(spread, key).select(*key, "mean", diagonal.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start"), F.lit(None).cast("double").alias("det"))
     model = materialize(start, "mcd")
-    for _ in range(steps):
-        near = _with_groups(rows, model, key).withColumn("d2", _distance(F.col("x"), F.col("mean"), F.col("low"), d))
-        cuts = near.groupBy(key).agg(F.percentile_approx("d2", half_set, accuracy).alias("cut"), F.percentile_approx("d2", 0.5, accuracy).alias("mid"))
-        inner = _with_groups(near, materialize(cuts, "mcd"), key).where("d2 <= cut")
+    apart = [F.abs(F.col("x")[i] - F.col("mean")[i]) / F.col("low")[i * d + i] for i in range(d)]
+    first = F.when(F.col("start") == 0, reduce(lambda a, b: a + b, [v * v for v in apart])).when(F.col("start") == 1, F.greatest(*apart)).otherwise(reduce(lambda a, b: a + b, apart))
+    for step in range(most_steps):
+        near = _with_groups(rows, model.drop("det"), key).withColumn("d2", _distance(F.col("x"), F.col("mean"), F.col("low"), d) if step else first)
+        cuts = materialize(near.groupBy(*key, "start").agg(F.percentile_approx("d2", half_set, accuracy).alias("cut")), "mcd")
+        inner = _with_groups(near, cuts, [*key, "start"]).where("d2 <= cut")
         pairs = [(i, j) for i in range(d) for j in range(i + 1)]
         # Deviations from the last centre keep the sums small.
         shift = [F.col("x")[i] - F.col("mean")[i] for i in range(d)]
-        sums = inner.groupBy(key).agg(F.first("mean").alias("mean"), *[F.avg(shift[i]).alias(f"a{i}") for i in range(d)], *[F.avg(shift[i] * shift[j]).alias(f"p{i}_{j}") for i, j in pairs])
-        cov = [[(F.col(f"p{max(i, j)}_{min(i, j)}") - F.col(f"a{i}") * F.col(f"a{j}")) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for j in range(d)] for i in range(d)]
-        low = _cholesky(cov)
-        model = materialize(sums.select(*key, F.array(*[F.col("mean")[i] + F.col(f"a{i}") for i in range(d)]).alias("mean"), F.array(*[low[i][j] for i in range(d) for j in range(d)]).alias("low")), "mcd")
+        sums = inner.groupBy(*key, "start").agg(F.first("mean").alias("mean"), *[F.avg(shift[i]).alias(f"a{i}") for i in range(d)], *[F.avg(shift[i] * shift[j]).alias(f"p{i}_{j}") for i, j in pairs])
+        cov = [[F.col(f"p{max(i, j)}_{min(i, j)}") - F.col(f"a{i}") * F.col(f"a{j}") for j in range(d)] for i in range(d)]
+        low = _cholesky([[F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c for j, c in enumerate(row)] for i, row in enumerate(cov)])
+        mean = F.array(*[F.col("mean")[i] + F.col(f"a{i}") for i in range(d)])
+        after = sums.select(*key, "start", mean.alias("mean"), F.array(*[low[i][j] for i in range(d) for j in range(d)]).alias("low"))
+        det = reduce(lambda a, b: a * b, [F.col("low")[i * d + i] for i in range(d)])
+        before, model = model, materialize(after.withColumn("det", det), "mcd")
+        if step:
+            fell = model.alias("a").join(before.alias("b"), [*key, "start"]).agg(F.max(1 - F.col("a.det") / F.col("b.det"))).first()[0]
+            if fell is None or fell < 1e-3:
+                break
+    model = model.groupBy(key).agg(F.min_by(F.struct("mean", "low"), F.struct("det", "start")).alias("best")).select(*key, "best.*")
+    model = materialize(model, "mcd")
     # Never below 1: a group without spread, where the floors alone count, is not to be stretched.
     scaled = _with_groups(rows, model, key).withColumn("d2", _distance(F.col("x"), F.col("mean"), F.col("low"), d)).groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("d2", 0.5, accuracy).alias("mid"))
     model = model.join(scaled, key).select(*key, "n", "mean", F.transform("low", lambda v: v * F.sqrt(F.greatest(F.lit(1.0), F.col("mid") / CHI2_MEDIAN_4))).alias("low"))
@@ -152,7 +171,7 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, steps: int = 2, min_rows:
     return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *best)
 
 
-def judge(stats: DataFrame, cutoff: float = 60.0, **options) -> DataFrame:
+def judge(stats: DataFrame, cutoff: float = CHI2_FAR_4, **options) -> DataFrame:
     """stats with d2 and kept."""
     model = materialize(fit_mcd(stats, **options), "mcd").withColumns({"_l": F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("")), "_s": F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit(""))}).drop("_lang", "_source")
     tagged = stats.withColumns({"_l": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "_s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
