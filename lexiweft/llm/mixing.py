@@ -1,14 +1,16 @@
 """Mixing sources to target weights, in words.
 
 Each source's words, in a fixed pseudorandom order of its documents, are packed into blocks of block_words. The mix is a
-row of slots, cut into output shards. Slots get their sources by a pseudorandom permutation of all slots, of which each
-source has a fixed quota: the counts of a shard are then multinomial draws, conditioned on the shards' sum meeting the
-targets (a multivariate hypergeometric law), so that no shard is far from the weights and the whole is exact to a block.
-The k-th slot of a source goes to block perm(k mod n) of its n blocks, with another permutation in each round; blocks
-are joined to the documents' parts in them by source and index. Nothing is kept in order across tasks: permutations are
-Feistel networks of the index, and documents get their places by sums over hashed bins of a bounded mean size.
+row of slots, cut into output shards. Each shard draws how many of its slots every source has from a multinomial law of the
+target shares, and deals them out inside it by a pseudorandom permutation. Over all shards a source's draws miss its quota
+by about the root of it; slots drawn beyond a quota go, in order, to the sources that were drawn too seldom, so that the whole
+is exact to a block and no block is taken too often. The k-th slot of a source goes to block perm(k mod n) of its n blocks,
+with another permutation in each round; blocks are joined to the documents' parts in them by source and index. Nothing is
+kept in order across tasks: permutations are Feistel networks of the index, and documents get their places by sums over
+hashed bins of a bounded mean size.
 
-The driver and each task hold a few numbers a source; most_sources bounds that table, and more raise an error.
+The driver and each task hold a few numbers a source, and the draws; most_sources bounds the first, and more raise an error;
+shards are made larger where there would be more than MOST_DRAWS draws.
 
 Contract: one row per input row. A null text has size 0. Sources are in code point order, null last, and weigh 5, 2, 1,
 repeating; targets stop at three times the source's size and the excess is shared again. Sources without words have
@@ -31,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 14
+#: Shards times sources: 8 MB.
+MOST_DRAWS = 1 << 20
 BIN_ROWS = 2048
 
 
@@ -83,7 +87,7 @@ def _placed(rows: DataFrame, n_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, most_sources: int = 1_000_000) -> DataFrame:
-    """key, size, source_size, target, taken (words that the mix takes of the document, repeats counted)."""
+    """key, size, source_size, target, taken (words that the mix takes of the document, repeats counted), n_shards (output shards that hold some)."""
     spark = docs.sparkSession
     rows = materialize(docs.select(docs[key].cast("long").alias("key"), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(most_sources + 1).collect()
@@ -106,29 +110,53 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     parts = placed.select("key", "s", "size", "start", F.explode(F.sequence(F.floor(first / block_words), F.floor(last / block_words))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     parts = parts.select("key", "s", "size", "start", "block", overlap.alias("overlap"))
-    slots = slot_blocks(spark, quota, blocks, shard_slots, seed).groupBy("s", "block").agg(F.count("*").alias("times"))
-    counted = parts.join(slots, ["s", "block"], "left").groupBy("s", "start", "key", "size").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).alias("taken"))
-    sized = counted.join(F.broadcast(known.drop("source")), "s")
-    out = sized.select("key", "size", "source_size", "target", "taken").unionByName(facts.where("size = 0").select("key", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", F.col("taken").cast("long").alias("taken")) if n_slots else facts.select(F.col("key").alias(key), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    slots = slot_blocks(spark, quota, blocks, shard_slots, seed).groupBy("s", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("shards"))  # a block has MOST_TIMES slots at most
+    counted = parts.join(slots, ["s", "block"], "left").groupBy("s", "start", "key", "size").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("n_shards"))
+    columns = ["size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.col("n_shards").cast("long").alias("n_shards")]
+    nothing = {"taken": F.lit(0), "n_shards": F.lit(0)}
+    if not n_slots:
+        return facts.withColumns(nothing).select(F.col("key").alias(key), *columns)
+    sized = counted.join(F.broadcast(known.drop("source")), "s").select("key", *columns)
+    return sized.unionByName(facts.where("size = 0").withColumns(nothing).select("key", *columns)).withColumnRenamed("key", key)
+
+
+def draws(quota: list[int], shard_slots: int, seed: int) -> np.ndarray:
+    """shards x sources: multinomial counts of each shard's slots, by the quotas' shares. The last shard may be shorter."""
+    n_slots = sum(quota)
+    share = np.array(quota, np.float64) / n_slots
+    sizes = [shard_slots] * (n_slots // shard_slots) + [n_slots % shard_slots] * (n_slots % shard_slots > 0)
+    return np.array([np.random.default_rng((seed, k)).multinomial(size, share) for k, size in enumerate(sizes)], np.int64)
 
 
 def slot_blocks(spark: SparkSession, quota: list[int], blocks: list[int], shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
     """shard, s, block: what each slot of the mix holds."""
-    n_slots = sum(quota)
-    edge, n_of = np.cumsum([0, *quota]), np.array(blocks, np.int64)
+    n_slots, n_of, wanted = sum(quota), np.array(blocks, np.int64), np.array(quota, np.int64)
+    if not n_slots:
+        return spark.createDataFrame([], "shard long, s int, block long")
+    shard_slots = max(shard_slots, math.ceil(n_slots / max(1, MOST_DRAWS // len(quota))))
+    drawn = draws(quota, shard_slots, seed)
+    edges = np.cumsum(drawn, axis=1)  # in a shard, the slots up to and with each source's
+    before = np.cumsum(drawn, axis=0) - drawn  # a source's slots in the shards before
+    total = drawn.sum(axis=0)
+    beyond = np.cumsum(np.maximum(total - wanted, 0)) - np.maximum(total - wanted, 0)
+    short = np.cumsum(np.maximum(wanted - total, 0))
 
     def run(batches):
         for batch in batches:
             slot = column(batch, "id").to_numpy(zero_copy_only=False)
             if not len(slot):
                 continue
-            place = permute(slot, np.full(len(slot), n_slots), np.full(len(slot), seed)).astype(np.int64)
-            s = np.searchsorted(edge, place, "right") - 1
-            k = place - edge[s]
+            shard = slot // shard_slots
+            place = permute(slot % shard_slots, edges[shard, -1], seed + shard).astype(np.int64)
+            s = (edges[shard] <= place[:, None]).sum(axis=1)
+            k = before[shard, s] + place - (edges[shard, s] - drawn[shard, s])
+            over = np.flatnonzero(k >= wanted[s])  # the source has its quota: the next one that is short gets the slot
+            rank = beyond[s[over]] + k[over] - wanted[s[over]]
+            s[over] = np.searchsorted(short, rank, "right")
+            k[over] = wanted[s[over]] - (short[s[over]] - rank)
             n = n_of[s]
             block = permute(k % n, n, (seed + 1 + s) * 8 + k // n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_slots), pa.array(s.astype(np.int32)), pa.array(block)], ["shard", "s", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(s.astype(np.int32)), pa.array(block)], ["shard", "s", "block"])
 
     return in_arrow(spark.range(n_slots), run, "shard long, s int, block long")
 
