@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +73,50 @@ def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of n texts, lower-cased: n + 1 offsets into the hashes of their words, and those hashes in order."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))))
+    flat = lists.flatten().dictionary_encode()
+    words = flat.dictionary.cast(pa.binary()).to_pylist()
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    code, offsets = flat.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    if b"" in words:  # texts without words
+        full = code != words.index(b"")
+        code, offsets = code[full], np.r_[0, np.cumsum(full)][offsets]
+    return offsets, hashed[code]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not every C library has it
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def gathered(batches, least_bytes: int):
+    """The Arrow batches, put together until they have so many bytes: larger ones share more words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(batches, most_bytes: int = 6_000_000, most_rows: int = 2_000):
     """The Arrow batches in pieces of bounded size, so that what Python makes of one stays small."""
     for batch in batches:
         step = max(1, min(most_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-        pa.default_memory_pool().release_unused()
+        release()

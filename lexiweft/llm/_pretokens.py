@@ -52,7 +52,7 @@ class PreTokens:
         self.specials = specials
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.other = "|".join([OTHER, *map(regex.escape, specials)])
-        self.chunks = Recent(20_000)
+        self.chunks = Recent(10_000)
         self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -117,7 +117,7 @@ class Recent:
 class Encoded:
     """What each word encodes to. encode_words gets distinct words in the byte alphabet."""
 
-    def __init__(self, pre: PreTokens, encode_words: Callable[[list[str]], list], most: int = 100_000):
+    def __init__(self, pre: PreTokens, encode_words: Callable[[list[str]], list], most: int = 60_000):
         self.pre, self.encode_words, self.words = pre, encode_words, Recent(most)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:

@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _pretokens as P
-from ._common import column, in_arrow, slices, table
+from ._common import column, gathered, in_arrow, slices, table
 
 END = "</w>"
+#: Bytes of text whose words are encoded together.
+BATCH_WORDS = 7_000_000
 #: Tokens up to this long are looked up together, by the last characters of a prefix.
 NEAR = 6
 
@@ -50,7 +52,7 @@ class TrieBpe:
             self.rank[vocab[a], vocab[b]] = merged
             self.parts[merged] = (vocab[a], vocab[b])
         self.sound: dict[int, bool] = {}
-        self.goes: dict[tuple[int, int], bool] = {}
+        self.goes: dict[int, bool] = {}
         self.inner_ends, self.final_ends = {}, {}  # by the last characters of a prefix: the tokens that may end it
         self.inner_long, self.final_long = self._long(self.inner), self._long(self.final)
 
@@ -92,63 +94,69 @@ class TrieBpe:
             else:
                 return True
 
-    def _ends(self, near: str, tokens: dict[str, int]) -> tuple[tuple[int, int], ...]:
-        """The sound tokens that end `near`, longest first: (length, token)."""
+    def _ends(self, near: str, tokens: dict[str, int], ends: dict, long: dict) -> tuple:
+        """(lengths of longer tokens that may end a prefix that ends with `near`, the sound tokens that end `near` as (length, token)); longest first."""
         found = ((n, tokens.get(near[-n:])) for n in range(len(near), 0, -1))
-        return tuple((n, t) for n, t in found if t is not None and self._is_sound(t))
+        if len(ends) > 150_000:
+            ends.clear()
+        ends[near] = entry = long.get(near, ()), tuple((n, t) for n, t in found if t is not None and self._is_sound(t))
+        return entry
 
-    def _last(self, word: str, end: int, states: list, tokens: dict[str, int], ends: dict, long: dict) -> tuple[int, int]:
-        """The last token of the encoding of word[:end], and where it starts."""
+    def _last(self, word: str, end: int, last: list, tokens: dict[str, int], ends: dict, long: dict) -> tuple[int, int]:
+        """The last token of the encoding of word[:end], and where it starts. last[d]: the last token of word[:d]."""
         near = word[end - NEAR : end] if end > NEAR else word[:end]
-        goes = self.goes
-        for n in long.get(near, ()):
+        longer, found = ends.get(near) or self._ends(near, tokens, ends, long)
+        for n in longer:
             if n <= end and (token := tokens.get(word[end - n : end])) is not None and self._is_sound(token):
                 start = end - n
-                if start == 0 or self._follows(states[start][0], token):
+                if start == 0 or self._follows(last[start], token):
                     return token, start
-        found = ends.get(near)
-        if found is None:
-            if len(ends) > 200_000:
-                ends.clear()
-            found = ends[near] = self._ends(near, tokens)
+        goes = self.goes
         for n, token in found:
             start = end - n
             if start == 0:
                 return token, 0
-            pair = (states[start][0], token)
-            known = goes.get(pair)
+            a = last[start]
+            known = goes.get(a << 20 | token)
             if known is None:
-                known = self._follows(*pair)
+                known = self._follows(a, token)
             if known:
                 return token, start
         raise ValueError(f"no token ends {word[:end]!r}")
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether the strings of a and b, put together, encode to a then b."""
-        known = self.goes.get((a, b))
+        pair = a << 20 | b
+        known = self.goes.get(pair)
         if known is None:
-            if len(self.goes) > 400_000:
+            if len(self.goes) > 300_000:
                 self.goes.clear()
-            known = self.goes[a, b] = self._apart(a, b)
+            known = self.goes[pair] = self._apart(a, b)
         return known
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of each distinct word."""
         out: dict[str, list[int]] = {}
-        states: list = [None]  # states[d]: (last token, its start) of the current path's prefix of length d
-        before = ""
+        last, begin = [-1], [0]  # by length of the current path's prefix: its last token, and where that starts
+        before, step, inner, ends, long = "", self._last, self.inner, self.inner_ends, self.inner_long
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word) - 1, len(states) - 1)
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for d in range(shared + 1, len(word)):
-                states.append(self._last(word, d, states, self.inner, self.inner_ends, self.inner_long))
-            token, at = self._last(word, len(word), states, self.final, self.final_ends, self.final_long)
+            size = len(word)
+            shared, most = 0, min(len(before), size - 1, len(last) - 1)
+            if before[:most] == word[:most]:
+                shared = most
+            else:
+                while before[shared] == word[shared]:
+                    shared += 1
+            del last[shared + 1 :], begin[shared + 1 :]
+            for d in range(shared + 1, size):
+                token, at = step(word, d, last, inner, ends, long)
+                last.append(token)
+                begin.append(at)
+            token, at = step(word, size, last, self.final, self.final_ends, self.final_long)
             ids = [token]
             while at:
-                token, at = states[at]
-                ids.append(token)
+                ids.append(last[at])
+                at = begin[at]
             ids.reverse()
             out[word] = ids
             before = word
@@ -187,7 +195,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text", ke
     file = P.vocabulary_path(path)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(gathered(batches, BATCH_WORDS), 2 * BATCH_WORDS, 8_000):
             n, *both = encode_texts(column(batch, "text"), file)
             digests = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in of.cast(pa.binary())], pa.string()) for of in both]
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n), *digests], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -201,7 +209,7 @@ def bpe_ids(docs: DataFrame, path: str | None = None, text: str = "text", key: s
     file = P.vocabulary_path(path)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(gathered(batches, BATCH_WORDS), 2 * BATCH_WORDS, 8_000):
             _, ids, decoded = encode_texts(column(batch, "text"), file)
             yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array([[int(x) for x in i.split()] for i in ids.to_pylist()], pa.list_(pa.int32())), decoded], ["key", "ids", "decoded"])
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, in_arrow, materialize, slices, table
+from ._common import column, in_arrow, materialize, slices, table, word_hashes
 
 CHUNKS, WIDTH, BITS = 9, 6, 10
 VALUES = CHUNKS * WIDTH
@@ -50,32 +50,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Shingler:
-    """Sets of hashed shingles; word hashes are kept from text to text."""
-
-    def __init__(self, size: int = 2, most: int = 300_000):
-        self.size, self.most, self.known = size, most, {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingles."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # A-Z only, and [\x20\x09-\x0D] only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            h = np.fromiter([known[w] for w in words], np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter([known[w] for w in words], np.uint64, len(words))
-        n = min(self.size, len(words))
-        out = h[: len(h) - n + 1].copy()
+def shingle_sets(texts: pa.Array, size: int = 2):
+    """For each text, its sorted distinct shingles, hashed."""
+    offsets, h = word_hashes(texts)
+    for a, b in zip(offsets, offsets[1:]):
+        n = min(size, int(b - a))
+        out = h[a : b - max(0, n - 1)].copy()
         for k in range(1, n):
-            out = _mix(out * _M1 + h[k : len(h) - n + 1 + k])
-        return np.unique(out)
+            out = _mix(out * _M1 + h[a + k : b - n + 1 + k])
+        yield np.unique(out)
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +84,10 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """key, n, class (a digest of the set), c0 .. c8 (the signature), o0 .. o7 (the parities) for each row."""
 
     def run(batches):
-        shingler, (a, b), none = Shingler(size), _coefficients(), np.zeros(len(WORDS), np.int64)
+        (a, b), none = _coefficients(), np.zeros(len(WORDS), np.int64)
         for batch in slices(batches):
             n, classes, words = [], [], []
-            for text in column(batch, "text").to_pylist():
-                s = shingler.of(text)
+            for s in shingle_sets(column(batch, "text"), size):
                 n.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 words.append(np.concatenate([signature(s, a, b), parities(s).view(np.int64)]) if len(s) else none)
@@ -185,9 +167,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     """The pairs with 100 * |intersection| >= percent * |union|. Only the texts of documents in pairs are read out."""
 
     def sets(batches):
-        shingler = Shingler(size)
         for batch in slices(batches):
-            s = [shingler.of(t) for t in column(batch, "text").to_pylist()]
+            s = list(shingle_sets(column(batch, "text"), size))
             cols = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()), pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([bitmap(x).tobytes() for x in s], pa.binary())]
             yield pa.RecordBatch.from_arrays([column(batch, "key"), *cols], ["rep", "class", "n", "set", "bits"])
 

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _pretokens as P
-from ._common import column, in_arrow, slices, table
+from ._common import column, gathered, in_arrow, slices, table
 
 END = "</w>"
+#: Bytes of text whose words are encoded together.
+BATCH_WORDS = 7_000_000
 #: Added to a character's code to mark it as the last of a word.
 LAST = 0x1000
 
@@ -105,7 +107,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", k
     file = P.vocabulary_path(path)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(gathered(batches, BATCH_WORDS), 2 * BATCH_WORDS, 8_000):
             yield pa.RecordBatch.from_arrays([column(batch, "key"), *map(pa.array, count_texts(column(batch, "text"), file))], ["key", "n_pretokens", "n_tokens"])
 
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
