@@ -23,22 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that driver and executors share; one of our own only where the master is local and names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexiweft-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back.
+#: Tables of a few bytes a row are written by this share of the shuffle partitions (and as many tasks as cores at least).
+NARROW = 16
+
+
+def materialize(df: DataFrame, what: str, narrow: bool = False, **options: str) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder and read it back. narrow: into few files.
 
     A lost executor then costs a reread of files, not a recomputation of the job so far.
     """
-    path = f"{shared_dir(df.sparkSession)}/lexiweft/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexiweft/{what}-{uuid.uuid4().hex}"
+    if narrow:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:

@@ -188,14 +188,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids", narrow=True)
     own = in_arrow(_among(docs, ids), sets, "rep long, class binary, n long, set binary, bits binary")
     # Of rows that repeat a key, those with a text that the key represents count, once for each such text.
     wanted = classes.select("rep", "class").join(ids, "rep", "left_semi")
     own = materialize(own.join(wanted, ["rep", "class"], "left_semi").dropDuplicates(["rep", "class"]).select("rep", "n", "set", "bits"), "sets")
     a, b = (own.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
     bits = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = materialize(in_arrow(bits.select("a", "b", "ba", "bb", "na", "nb"), bounded, "a long, b long"), "bounded")
+    pairs = materialize(in_arrow(bits.select("a", "b", "ba", "bb", "na", "nb"), bounded, "a long, b long"), "bounded", narrow=True)
     a, b = (own.select(F.col("rep").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     return in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
@@ -214,13 +214,13 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node takes the least label among its own, its neighbours' and its label's, so labels travel twice as far
     from round to round.
     """
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "edges")
-    labels = materialize(edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")), "labels")
+    edges = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "edges", narrow=True)
+    labels = materialize(edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")), "labels", narrow=True)
     while True:
         near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         over = labels.select(F.col("u").alias("label"), F.col("label").alias("over"))
         after = labels.join(near, "u").join(over, "label").select("u", F.least("label", "near", "over").alias("label"), F.col("label").alias("old"))
-        labels = materialize(after, "labels")
+        labels = materialize(after, "labels", narrow=True)
         if labels.where("label <> old").limit(1).count() == 0:
             return labels.select(F.col("u").alias("id"), F.col("label").alias("component"))
         labels = labels.drop("old")
@@ -241,14 +241,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     def linked(found: DataFrame, pairs: DataFrame) -> DataFrame:
         """found (rep, component) with components joined by the links among pairs (a, b); components stand for their members, so the edges are few."""
-        links = materialize(_confirmed(pairs, docs, classes, size, percent), "links")
+        links = materialize(_confirmed(pairs, docs, classes, size, percent), "links", narrow=True)
         of = [found.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
         joint = links.join(of[0], "a").join(of[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         least = components(joint).select(F.col("id").alias("component"), F.col("component").alias("least"))
-        return materialize(found.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")), "found")
+        return materialize(found.join(least, "component", "left").select("rep", F.coalesce("least", "component").alias("component")), "found", narrow=True)
 
     def near(pairs: DataFrame) -> DataFrame:
-        return materialize(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent), "near")
+        return materialize(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent), "near", narrow=True)
 
     def still_apart(found: DataFrame) -> DataFrame:
         """v, key, rep, component, main, one: members of buckets of several components, with the largest, and one member of that."""

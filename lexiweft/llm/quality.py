@@ -128,18 +128,18 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, most_steps: int = 12, min_
     # A row takes part in its own group and in the wider ones that small groups lean on.
     rows = used.select(F.concat(F.lit("="), F.coalesce("lang", F.lit("\0"))).alias("l"), F.concat(F.lit("="), F.coalesce("source", F.lit("\0"))).alias("s"), "x")
     rows = rows.select(F.explode(F.array(*[F.struct(a.alias("g_lang"), b.alias("g_source")) for a, b in ((F.col("l"), F.col("s")), (F.col("l"), F.lit("*")), (F.lit("*"), F.lit("*")))])).alias("g"), "x").select("g.*", "x")
-    centre = materialize(rows.groupBy(key).agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, accuracy) for i in range(d)]).alias("mean")), "mcd")
+    centre = materialize(rows.groupBy(key).agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, accuracy) for i in range(d)]).alias("mean")), "mcd", narrow=True)
     spread = _with_groups(rows, centre, key).groupBy(key).agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, accuracy).alias(n) for i, n in enumerate(names)])
     # The first estimate: medians, and deviations as a diagonal factor.
     deviation = [F.greatest(1.4826 * F.col(n), F.lit(f)) for n, f in zip(names, FLOOR)]
     diagonal = F.array(*[deviation[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
     start = centre.join(spread, key).select(*key, "mean", diagonal.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start"), F.lit(None).cast("double").alias("det"))
-    model = materialize(start, "mcd")
+    model = materialize(start, "mcd", narrow=True)
     apart = [F.abs(F.col("x")[i] - F.col("mean")[i]) / F.col("low")[i * d + i] for i in range(d)]
     first = F.when(F.col("start") == 0, reduce(lambda a, b: a + b, [v * v for v in apart])).when(F.col("start") == 1, F.greatest(*apart)).otherwise(reduce(lambda a, b: a + b, apart))
     for step in range(most_steps):
         near = _with_groups(rows, model.drop("det"), key).withColumn("d2", _distance(F.col("x"), F.col("mean"), F.col("low"), d) if step else first)
-        cuts = materialize(near.groupBy(*key, "start").agg(F.percentile_approx("d2", half_set, accuracy).alias("cut")), "mcd")
+        cuts = materialize(near.groupBy(*key, "start").agg(F.percentile_approx("d2", half_set, accuracy).alias("cut")), "mcd", narrow=True)
         inner = _with_groups(near, cuts, [*key, "start"]).where("d2 <= cut")
         pairs = [(i, j) for i in range(d) for j in range(i + 1)]
         # Deviations from the last centre keep the sums small.
@@ -150,17 +150,17 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, most_steps: int = 12, min_
         mean = F.array(*[F.col("mean")[i] + F.col(f"a{i}") for i in range(d)])
         after = sums.select(*key, "start", mean.alias("mean"), F.array(*[low[i][j] for i in range(d) for j in range(d)]).alias("low"))
         det = reduce(lambda a, b: a * b, [F.col("low")[i * d + i] for i in range(d)])
-        before, model = model, materialize(after.withColumn("det", det), "mcd")
+        before, model = model, materialize(after.withColumn("det", det), "mcd", narrow=True)
         if step:
             fell = model.alias("a").join(before.alias("b"), [*key, "start"]).agg(F.max(1 - F.col("a.det") / F.col("b.det"))).first()[0]
             if fell is None or fell < 1e-3:
                 break
     model = model.groupBy(key).agg(F.min_by(F.struct("mean", "low"), F.struct("det", "start")).alias("best")).select(*key, "best.*")
-    model = materialize(model, "mcd")
+    model = materialize(model, "mcd", narrow=True)
     # Never below 1: a group without spread, where the floors alone count, is not to be stretched.
     scaled = _with_groups(rows, model, key).withColumn("d2", _distance(F.col("x"), F.col("mean"), F.col("low"), d)).groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("d2", 0.5, accuracy).alias("mid"))
     model = model.join(scaled, key).select(*key, "n", "mean", F.transform("low", lambda v: v * F.sqrt(F.greatest(F.lit(1.0), F.col("mid") / CHI2_MEDIAN_4))).alias("low"))
-    model = materialize(model, "mcd")
+    model = materialize(model, "mcd", narrow=True)
     # Each (lang, source) takes its own estimate if it has rows enough, else its language's, else that of all.
     groups = stats.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source", F.concat(F.lit("="), F.coalesce("lang", F.lit("\0"))).alias("l"), F.concat(F.lit("="), F.coalesce("source", F.lit("\0"))).alias("s"))
     picks = [model.select(F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("n", "mean", "low").alias(f"m{k}")) for k in range(2)]
@@ -173,7 +173,7 @@ def fit_mcd(stats: DataFrame, half_set: float = 0.75, most_steps: int = 12, min_
 
 def judge(stats: DataFrame, cutoff: float = CHI2_FAR_4, **options) -> DataFrame:
     """stats with d2 and kept."""
-    model = materialize(fit_mcd(stats, **options), "mcd").withColumns({"_l": F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("")), "_s": F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit(""))}).drop("_lang", "_source")
+    model = materialize(fit_mcd(stats, **options), "mcd", narrow=True).withColumns({"_l": F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("")), "_s": F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit(""))}).drop("_lang", "_source")
     tagged = stats.withColumns({"_l": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "_s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
     out = _with_groups(tagged, model, ["_l", "_s"]).withColumn("d2", let(features(), lambda x: _distance(x, F.col("mean"), F.col("low"), len(FEATURES))))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).drop("_l", "_s", "mean", "low")

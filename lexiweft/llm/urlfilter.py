@@ -4,8 +4,8 @@ Level 1 of the cascade holds the listed keys of the corpus; level 2 the keys of
 level 1; level 3 the listed ones that pass level 2; and so on until no key is wrong. The key universe is complete (every
 host of the corpus and each of its parent domains), so the first level that a key fails tells exactly whether it is
 listed, with no join of urls against the list. Building takes DataFrame aggregates of bits over the distinct keys; what
-reaches the driver, and every task as a literal, is the bits, whose number is checked against max_filter_bits.
-Beyond that bound the universe is cut by hash into several cascades, of which each key has one.
+reaches the driver, and every task as a literal, is the bits. The universe is cut by hash into cascades of max_filter_bits at
+most, of which each key has one; all of them together are checked against MOST_BITS, and a larger list is an error.
 
 Contract: one row per input row. A null url, or one without "://", has an empty host and path: no rule fits, no key is
 listed, the verdict is allow. Repeated rows repeat; extra columns are ignored. Empty tables give empty results.
@@ -26,6 +26,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: The production list, as registrable domains; a listed domain holds for its subdomains too.
 LISTED = [f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
 WORD = 64
+#: Bits of all cascades together: 64 MB of literals. About a hundred million listed hosts fit.
+MOST_BITS = 1 << 29
 
 
 @dataclass
@@ -83,11 +85,13 @@ def _passes(key: Column, level: Level, number: int) -> Column:
     return out
 
 
-def build_cascade(universe: DataFrame, max_filter_bits: int = 1 << 27) -> list[list[Level]]:
+def build_cascade(universe: DataFrame, max_filter_bits: int = 1 << 27, most_bits: int = MOST_BITS) -> list[list[Level]]:
     """universe: distinct (key, listed). One cascade for each part of the universe by hash; a part is a list of levels."""
     total = universe.agg(F.count("*").alias("n"), F.count_if("listed").alias("r")).first()
     # Level 1 takes about log2(n / r) / ln 2 bits a listed key, those after it two bits a key together.
     need = total.r * (math.log2(max(2, total.n / max(1, total.r))) / math.log(2) + 4)
+    if need > most_bits:
+        raise ValueError(f"the list needs about {need:.0f} bits of filters, more than {most_bits}")
     parts = max(1, math.ceil(need / max_filter_bits))
     cascades = []
     for part in range(parts):

@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,136 @@ def test_bpe_equals_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_equals_the_library_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = _pretokens.vocabulary_path()
+    t, rng = Tokenizer.from_file(path), np.random.default_rng(9)
+    signs = [*"abcDEst", "'", " ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", *".,!?<|>19²½ªéÉçßİıǅΣς—’“€漢🙂ﬁ", "　", "̀", "<|endoftext|>", "<|startoftext|>", "'s", "'ll", "don't", "the "]
+    texts = ["".join(rng.choice(signs[:30] if k % 2 else signs, rng.integers(0, 40))) for k in range(1500)]
+    n, ids, decoded = bpe.encode_texts(pa.array(texts), path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert ids.to_pylist() == [" ".join(map(str, w)) for w in want]
+    assert decoded.to_pylist() == [t.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_recent_values_stay():
+    kept, asked = _pretokens.Recent(3), []
+    make = lambda keys: [asked.append(k) or k.upper() for k in keys]
+    for keys in (["a", "b"], ["a", "c", "d"], ["a", "e"], ["a", "f", "g", "h"], ["a"], ["b"]):
+        assert kept.of(keys, make) == [k.upper() for k in keys]
+    assert asked.count("a") == 1 and asked.count("b") == 2
+
+
+def test_token_counts_with_the_real_vocabulary(spark):
+    import json
+
+    path = _pretokens.vocabulary_path()
+    pre = _pretokens.pretokens(path)
+    vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+    tokens = {tokencount.symbols(t[:-4]) if t.endswith("</w>") else t for t in vocab}
+    texts = [*ODD, "Don't antidisestablishmentarianism 12 ça <|endoftext|>x", "İ é 漢字"]
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.token_counts(docs(spark, *texts)).collect()}
+    for i, t in enumerate(texts):
+        words = [pre.in_bytes(w) for w in pre.split(pa.array([t], pa.string())).flatten().to_pylist() if w]
+        assert got[i] == (len(words), sum(1 if w in pre.specials else greedy(tokencount.symbols(w), tokens) for w in words))
+
+
+def test_slots_of_shards():
+    quota, blocks = [9000, 300, 30, 0, 670], [3000, 900, 10, 5, 700]
+    drawn = mixing.draws(quota, 512, 7)
+    assert drawn.sum() == sum(quota) and (drawn[:-1].sum(axis=1) == 512).all() and len(set(map(tuple, drawn.tolist()))) > 1
+    assert (abs(drawn.sum(axis=0) - quota) < 6 * np.sqrt(np.array(quota) + 1)).all()
+
+
+def test_slots_meet_the_quotas(spark):
+    quota, blocks = [9000, 300, 30, 0, 670], [3000, 900, 10, 5, 700]
+    rows = [tuple(r) for r in mixing.slot_blocks(spark, quota, blocks, shard_slots=512).collect()]
+    assert len(rows) == sum(quota)
+    for s in range(5):
+        times = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(b for _, t, b in rows if t == s))]
+        assert sum(times) == quota[s] and (not times or max(times) == -(-quota[s] // blocks[s]))
+    # Shards hold what they drew, but for slots beyond a quota.
+    drawn = mixing.draws(quota, 512, 7)
+    held = np.zeros_like(drawn)
+    for shard, s, _ in rows:
+        held[shard, s] += 1
+    assert abs(held - drawn).sum() == 2 * np.maximum(drawn.sum(axis=0) - quota, 0).sum()
+    assert mixing.slot_blocks(spark, [0], [0]).count() == 0
+
+
+def test_robust_estimate_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = rng.integers(40, 400, 300)
+    stats = [("en", "s", int(k), int(k * rng.normal(5, 0.6)), int(rng.integers(0, 30)), int(rng.integers(0, 9)), int(rng.integers(0, k // 5)), int(rng.integers(9, 30)), False) for k in n]
+    frame = spark.createDataFrame(stats, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean")
+    x = np.array([r.x for r in frame.select(quality.features().alias("x")).collect()])
+    floor, best = np.array(quality.FLOOR), None
+    lower = lambda v, q: np.sort(v)[int(np.ceil(q * len(v))) - 1]
+    med = np.array([lower(c, 0.5) for c in x.T])
+    z = abs(x - med) / np.maximum(1.4826 * np.array([lower(c, 0.5) for c in abs(x - med).T]), floor)
+    for d in ((z * z).sum(axis=1), z.max(axis=1), z.sum(axis=1)):
+        for _ in range(30):
+            y = x[d <= lower(d, 0.75)]
+            cov = np.cov(y.T, bias=True)
+            cov += np.diag(np.maximum(0, floor**2 - np.diag(cov)))
+            d = np.einsum("ij,jk,ik->i", x - y.mean(axis=0), np.linalg.inv(cov), x - y.mean(axis=0))
+        best = min(best or (np.inf, None), (np.linalg.det(cov), tuple(d / max(1, lower(d, 0.5) / quality.CHI2_MEDIAN_4))))
+    got = [r.d2 for r in quality.judge(frame).collect()]
+    assert np.allclose(sorted(got), sorted(best[1]), rtol=0.05)
+    quality_most, quality.MOST_BROADCAST_GROUPS = quality.MOST_BROADCAST_GROUPS, 0
+    try:
+        assert np.allclose(sorted(got), sorted(r.d2 for r in quality.judge(frame).collect()))
+    finally:
+        quality.MOST_BROADCAST_GROUPS = quality_most
+
+
+def test_search_rows_of_their_own(spark):
+    d = spark.createDataFrame([(-5, "red fox runs"), (None, "red fox"), (4, "red fox"), (4, "red fox"), (9, None), (10, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "Red FOX"), (1, "Red FOX"), (None, "runs"), (3, None)], "doc_id long, text string")
+    rows = topk.top_k(d, q, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in rows if r.query_id == 1) == [(1, 1, 4)] * 2 + [(1, 2, 4)] * 2 + [(1, 3, None)] * 2 or sorted(((r.rank, str(r.doc_id)) for r in rows if r.query_id == 1)) == [(1, "4"), (1, "4"), (2, "4"), (2, "4"), (3, "None"), (3, "None")]
+    assert [(r.rank, r.doc_id) for r in rows if r.query_id is None] == [(1, -5)] and not [r for r in rows if r.query_id == 3]
+    assert topk.top_k(d.where("false"), q).count() == 0 and topk.top_k(d, q.where("false")).count() == 0
+
+
+def test_crf_gradient_and_paths_by_enumeration():
+    model = pii.BiLstmCrf(embed=3, hidden=2, seed=1)
+    rng = np.random.default_rng(2)
+    for k in model.p:
+        model.p[k] = model.p[k].astype(np.float64)
+    x, y = rng.integers(1, 9, (2, 3)), np.array([[1, 2, 0], [0, 5, 6]])
+
+    def total(paths_of=None):
+        e, loss = model.emissions(x), 0.0
+        trans = model.p["T"] + model.wall
+        score = lambda b, path: model.first[path[0]] + sum(e[b, t, v] for t, v in enumerate(path)) + sum(trans[u, v] for u, v in zip(path, path[1:]))
+        for b in range(2):
+            every = {p: float(score(b, p)) for p in itertools.product(range(pii.LABELS), repeat=3)}
+            top = max(every.values())
+            loss += top + np.log(sum(np.exp(v - top) for v in every.values())) - score(b, tuple(y[b]))
+            if paths_of is not None:
+                paths_of.append(max(every, key=every.get))
+        return loss / 2
+
+    best: list = []
+    total(best)
+    assert [tuple(p) for p in model.paths(list(model.emissions(x)))] == best
+    grads = model._step(x, y)
+    for name in ("T", "O", "Uf", "Wb", "E"):
+        for at in [tuple(rng.integers(0, n) for n in model.p[name].shape) for _ in range(3)] + ([(0, 1)] if name == "T" else []):
+            if name == "T" and model.wall[at] < 0:
+                continue
+            old = model.p[name][at]
+            model.p[name][at] = old + 1e-4
+            up = total()
+            model.p[name][at] = old - 1e-4
+            down = total()
+            model.p[name][at] = old
+            assert abs((up - down) / 2e-4 - grads[name][at]) < 2e-3
+
+
 def greedy(word, tokens):
     n = at = 0
     while at < len(word):
@@ -149,10 +280,13 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
 def test_url_cascade_is_exact(spark):
     keys = [(f"h{i}.example.org", i % 7 == 0) for i in range(3000)]
     universe = spark.createDataFrame(keys, "key string, listed boolean")
-    for bits in (1 << 27, 4096):
+    for bits, parts in ((1 << 27, 1), (2048, 2), (512, 7)):
         cascades = urlfilter.build_cascade(universe, bits)
-        assert len(cascades) == (1 if bits > 4096 else len(cascades))
+        assert len(cascades) == parts
         assert universe.where(urlfilter.is_listed(F.col("key"), cascades) != F.col("listed")).count() == 0
+    with pytest.raises(ValueError):
+        urlfilter.build_cascade(universe, most_bits=1000)
+    assert urlfilter.build_cascade(universe.where("false")) == [[]]
 
 
 def test_urls(spark):
