@@ -1,6 +1,6 @@
 """Scalar functions of names, paths, documentation and source text, as column expressions.
 
-The hot path stays in built-in expressions; only the brace scan of end_line_of needs Python.
+The hot path stays in built-in expressions; only the scan of block_end needs Python.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def is_test_file(path: Column) -> Column:
 
 
 # Names that are called from outside.
-ENTRY_NAMES = ["main", "init", "setup", "teardown", "run", "start", "handler", "configure", "register", "boot", "index", "constructor", "__init__", "__main__", "__construct"]
+ENTRY_NAMES = ["main", "__init__", "__main__", "setUp", "tearDown", "setup", "configure", "register", "boot", "init", "handle", "run", "execute", "__construct", "__destruct"]
 
 
 def is_entry_point(name: Column) -> Column:
@@ -199,43 +199,28 @@ def confidence(language: Column) -> Column:
     return F.when(language.isin("c", "c++", "go", "java", "kotlin", "rust"), "high").when(language.isin("javascript", "typescript", "python", ""), "medium").otherwise("low")
 
 
-def end_line_of(lines: list[str], start: int, kind: str, most: int = 50) -> int:
-    """The last line (from 1) of the braces that open at or after start; strings and comments are passed over."""
+#: What a scan for braces must know: comments and strings are one token each, however many braces they hold.
+CODE_TOKEN = re.compile(r"""/\*.*?(?:\*/|\Z)|//[^\n]*|^[ \t]*#[^\n]*|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|[{}();]""", re.S | re.M)
+
+
+def block_end(text: str, line: int, kind: str, most: int = 50) -> int:
+    """The line (from 1) on which the symbol that begins on a line ends: at its closing brace, or at a semicolon before any brace.
+
+    Kinds of one line end where they begin. Without either end, the symbol is taken to have `most` lines more, as far as there are any.
+    """
     if kind in SINGLE_LINE_KINDS:
-        return start
-    depth, opened, quote, block, parens = 0, False, "", False, 0
-    for n in range(start, len(lines) + 1):
-        line, i = lines[n - 1], 0
-        while i < len(line):
-            c, two = line[i], line[i : i + 2]
-            if block:
-                if two == "*/":
-                    block, i = False, i + 1
-            elif quote:
-                if c == "\\":
-                    i += 1
-                elif c == quote:
-                    quote = ""
-            elif two == "//" or c == "#" and line[:i].strip() == "":
-                break
-            elif two == "/*":
-                block, i = True, i + 1
-            elif c in "\"'`":
-                quote = c
-            elif c in "()":
-                parens += 1 if c == "(" else -1
-            elif c == "{" and parens <= 0:
-                depth, opened = depth + 1, True
-            elif c == "}" and parens <= 0:
-                depth -= 1
-                if opened and depth <= 0:
-                    return n
-            elif c == ";" and not opened and parens <= 0:
-                return n
-            i += 1
-        if quote in ("'", '"'):
-            quote = ""
-    return min(start + most, len(lines))
+        return line
+    begin = [0, *(m.end() for m in re.finditer("\n", text))]
+    braces = brackets = 0
+    for m in CODE_TOKEN.finditer(text, begin[line - 1]):
+        t = m[0]
+        brackets += (t == "(") - (t == ")")
+        if brackets > 0:
+            continue
+        braces += (t == "{") - (t == "}")
+        if t == "}" and braces <= 0 or t == ";" and braces == 0:
+            return line + text.count("\n", begin[line - 1], m.start())
+    return min(line + most, len(begin))
 
 
 def docstring_above(lines: list[str], start: int) -> str:

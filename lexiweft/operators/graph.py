@@ -234,7 +234,8 @@ def _scc_spread(pairs: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, most_edges: int = 500_000) -> DataFrame:
     """node, scc (its least node) of all nodes on a cycle. edges: a, b.
 
-    Weakly connected parts of up to most_edges edges are solved each in one task; larger ones step by step over all tasks.
+    Weakly connected parts of up to most_edges edges are dealt into buckets of about that many, each solved at once; larger
+    ones are solved step by step over all tasks.
     """
     pairs = materialize(edges.select("a", "b").distinct(), "pairs")
     part = weak_components(pairs).withColumnsRenamed({"node": "a", "component": "part"})
@@ -249,7 +250,10 @@ def strong_components(edges: DataFrame, most_edges: int = 500_000) -> DataFrame:
         rows = [(v, min(scc)) for scc in _tarjan(pairs_here) if len(scc) > 1 or scc[0] in loops for v in scc]
         return pd.DataFrame(rows, columns=["node", "scc"])
 
-    small = placed.join(large, "part", "left_anti").groupBy("part").applyInPandas(solve, f"node {kind}, scc {kind}")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(edges.sparkSession.sparkContext.defaultParallelism, -(-total // max(1, most_edges)))
+    dealt = placed.join(large, "part", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    small = dealt.groupBy("bucket").applyInPandas(solve, f"node {kind}, scc {kind}")
     return small if large.limit(1).count() == 0 else small.unionByName(_scc_spread(placed.join(large, "part", "left_semi")))
 
 

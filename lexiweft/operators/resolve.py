@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import dirname
 
 # Extensions in the order in which they are tried, and index files.
-EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".py", ".go", ".rs", ".java", ".kt", ".scala", ".php", ".rb", ".cs", ".swift", ".c", ".h", ".cpp", ".hpp", ".hs", ".twig", ".blade.php", ".css", ".json"]
-INDEX_FILES = ["/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.py"]
+EXTENSIONS = [".blade.php", ".html.twig", ".php", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".vue", ".py", ".java", ".kt", ".scala", ".rb", ".go", ".rs", ".cs", ".swift", ".hs", ".c", ".h", ".cpp", ".hpp", ".cc"]
+INDEX_FILES = ["/index.ts", "/index.js", "/index.tsx", "/index.jsx", "/index.py"]
 
 
 def _suffixes(path: Column) -> Column:

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names that say nothing.
-STOP_NAMES = "get set the new add run has test init main for and not from with this self that all key map list name type data value index item".split()
+STOP_NAMES = (
+    "self this ctx err error argv argc ptr len buf ret tmp key value name type size data result status config options args kwargs index count str msg val obj res req cmd fmt null nil true false none new get set "
+    "__construct __destruct __call __get __set __isset __unset __tostring __invoke up down run boot register handle fillable casts rules messages setup teardown test invoke tostring "
+    "default export import module require constructor prototype undefined"
+).split()
 STALE_DAYS = 7
 
 

@@ -211,60 +211,25 @@ def _(spark, d):
     return graph.shared_importers(B.imports(spark, d), 0)
 
 
-# Edges of parts with few importers, so that reachability does not cover all parts at once.
-_SPARSE = f"{IMPORTS}, few AS (SELECT source_file, resolved_file FROM imp WHERE (source_file * 31 + resolved_file) % 20 = 0)"
-
-
-def _few(spark, d):
-    return B.imports(spark, d).where("(source_file * 31 + resolved_file) % 20 = 0")
-
-
-@query("dependents_depth", f"WITH RECURSIVE {_SPARSE}, r AS (SELECT source_file AS file, 0 AS depth FROM few WHERE resolved_file = 1 UNION SELECT few.source_file, r.depth + 1 FROM few JOIN r ON few.resolved_file = r.file WHERE r.depth < 3) SELECT file, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY file")
-def _(spark, d):
-    return graph.dependents(_few(spark, d), 1, 3)
-
-
-@query("dead_symbols", f"WITH {_SPARSE}, nm AS (SELECT f.resolved_file AS file, p_name AS name FROM few f JOIN part ON p_partkey = f.resolved_file WHERE f.resolved_file % 3 = 0), {PART_SYMBOLS}, s2 AS (SELECT * FROM sym WHERE name NOT LIKE 'test\\_%' ESCAPE '\\') SELECT id, classification, 'low' AS confidence FROM (SELECT id, 'dead' AS classification FROM s2 WHERE NOT EXISTS (SELECT 1 FROM few WHERE resolved_file = s2.file) UNION ALL SELECT id, 'unreferenced' FROM s2 WHERE EXISTS (SELECT 1 FROM few WHERE resolved_file = s2.file) AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.file = s2.file AND nm.name = s2.name))")
-def _(spark, d):
-    edges = _few(spark, d).withColumn("imported_name", F.when(F.col("resolved_file") % 3 == 0, F.col("imported_name")).otherwise("other"))
-    return graph.dead_symbols(B.part_symbols(spark, d), edges, limit=None).select("id", "classification", "confidence")
-
-
-@query("blast_radius", f"WITH RECURSIVE {_SPARSE}, r AS (SELECT source_file AS file, 0 AS depth FROM few WHERE resolved_file = 1 UNION SELECT few.source_file, r.depth + 1 FROM few JOIN r ON few.resolved_file = r.file WHERE r.depth < 1), m AS (SELECT file, min(depth) AS depth FROM r WHERE file <> 1 GROUP BY file ORDER BY depth, file LIMIT 500), c AS (SELECT m.file, m.depth, sum(coalesce(len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda t: t = 'the')), 0)) AS refs FROM m LEFT JOIN documents ON doc_id = m.file GROUP BY m.file, m.depth) SELECT file, CAST(depth AS BIGINT) AS depth, CAST(refs AS BIGINT) AS refs, CASE WHEN refs > 0 THEN 'confirmed' ELSE 'potential' END AS status FROM c")
-def _(spark, d):
-    return graph.blast_radius(_few(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"), 1, "the", 2)
-
-
-@query("callers", f"WITH {_SPARSE}, {PART_SYMBOLS}, near AS (SELECT * FROM sym WHERE file = 1 OR file IN (SELECT source_file FROM few WHERE resolved_file = 1)) SELECT near.id, CAST(2 AS BIGINT) AS phase FROM near JOIN documents ON doc_id = near.id WHERE near.id <> 1 AND len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda t: t = 'of')) > 0 ORDER BY near.file, line, near.id LIMIT 50")
-def _(spark, d):
-    s = B.part_symbols(spark, d).withColumn("name", F.when(F.col("id") == 1, "of").otherwise(F.col("name")))
-    return graph.callers(s, _few(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), 1).select("id", F.col("phase").cast("long").alias("phase"))
-
-
-# The same four over the whole imports view, with all imported names.
 _WHOLE = f"{IMPORTS}, few AS (SELECT source_file, resolved_file FROM imp)"
 
 
-def _whole_sql(name: str) -> str:
-    return ORACLES[name].replace(_SPARSE, _WHOLE).replace(" WHERE f.resolved_file % 3 = 0", "")
-
-
-@query("dependents_depth_whole", _whole_sql("dependents_depth"))
+@query("dependents_depth", f"WITH RECURSIVE {_WHOLE}, r AS (SELECT source_file AS file, 0 AS depth FROM few WHERE resolved_file = 1 UNION SELECT few.source_file, r.depth + 1 FROM few JOIN r ON few.resolved_file = r.file WHERE r.depth < 3) SELECT file, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY file")
 def _(spark, d):
     return graph.dependents(B.imports(spark, d), 1, 3)
 
 
-@query("dead_symbols_whole", _whole_sql("dead_symbols"))
+@query("dead_symbols", f"WITH {_WHOLE}, nm AS (SELECT f.resolved_file AS file, p_name AS name FROM few f JOIN part ON p_partkey = f.resolved_file), {PART_SYMBOLS}, s2 AS (SELECT * FROM sym WHERE name NOT LIKE 'test\\_%' ESCAPE '\\') SELECT id, classification, 'low' AS confidence FROM (SELECT id, 'dead' AS classification FROM s2 WHERE NOT EXISTS (SELECT 1 FROM few WHERE resolved_file = s2.file) UNION ALL SELECT id, 'unreferenced' FROM s2 WHERE EXISTS (SELECT 1 FROM few WHERE resolved_file = s2.file) AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.file = s2.file AND nm.name = s2.name))")
 def _(spark, d):
     return graph.dead_symbols(B.part_symbols(spark, d), B.imports(spark, d), limit=None).select("id", "classification", "confidence")
 
 
-@query("blast_radius_whole", _whole_sql("blast_radius"))
+@query("blast_radius", f"WITH RECURSIVE {_WHOLE}, r AS (SELECT source_file AS file, 0 AS depth FROM few WHERE resolved_file = 1 UNION SELECT few.source_file, r.depth + 1 FROM few JOIN r ON few.resolved_file = r.file WHERE r.depth < 1), m AS (SELECT file, min(depth) AS depth FROM r WHERE file <> 1 GROUP BY file ORDER BY depth, file LIMIT 500), c AS (SELECT m.file, m.depth, sum(coalesce(len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda t: t = 'the')), 0)) AS refs FROM m LEFT JOIN documents ON doc_id = m.file GROUP BY m.file, m.depth) SELECT file, CAST(depth AS BIGINT) AS depth, CAST(refs AS BIGINT) AS refs, CASE WHEN refs > 0 THEN 'confirmed' ELSE 'potential' END AS status FROM c")
 def _(spark, d):
     return graph.blast_radius(B.imports(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"), 1, "the", 2)
 
 
-@query("callers_whole", _whole_sql("callers"))
+@query("callers", f"WITH {_WHOLE}, {PART_SYMBOLS}, near AS (SELECT * FROM sym WHERE file = 1 OR file IN (SELECT source_file FROM few WHERE resolved_file = 1)) SELECT near.id, CAST(2 AS BIGINT) AS phase FROM near JOIN documents ON doc_id = near.id WHERE near.id <> 1 AND len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda t: t = 'of')) > 0 ORDER BY near.file, line, near.id LIMIT 50")
 def _(spark, d):
     s = B.part_symbols(spark, d).withColumn("name", F.when(F.col("id") == 1, "of").otherwise(F.col("name")))
     return graph.callers(s, B.imports(spark, d), B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), 1).select("id", F.col("phase").cast("long").alias("phase"))

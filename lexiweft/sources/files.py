@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import detect_language, extension, glob_to_regex
 
 # Folders that are passed over, extensions of binary files, lock and minified files, names of secrets.
-SKIP_FOLDERS = [".git", ".hg", ".svn", "node_modules", "vendor", "bower_components", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", "target", "out", ".next", ".nuxt", "coverage", ".idea", ".vscode", ".gradle", ".terraform"]
+SKIP_FOLDERS = [
+    ".git", ".svn", ".hg", "node_modules", "vendor", "bower_components", "dist", "build", ".next", ".nuxt", ".svelte-kit", ".output", ".turbo", ".parcel-cache", ".angular", ".docusaurus", ".expo", ".wireit", "storybook-static",
+    ".gradle", "DerivedData", ".build", ".cache", "__pycache__", ".tox", ".mypy_cache", ".venv", "venv", ".idea", ".vscode", "coverage", ".nyc_output", "__coverage__", "vendors", "app-assets", "codemirror", "ckeditor", "tinymce", "summernote",
+]
 BINARY_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "pdf", "zip", "gz", "tar", "7z", "rar", "exe", "dll", "so", "dylib", "o", "a", "class", "jar", "pyc", "woff", "woff2", "ttf", "otf", "mp3", "mp4", "avi", "mov", "sqlite", "db", "bin"]
 SKIP_NAMES = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|composer\.lock|cargo\.lock|poetry\.lock|gemfile\.lock|go\.sum|[^/]*\.min\.(js|css)|[^/]*\.map|[^/]*\.bundle\.js)$"
 SECRET_NAMES = r"(?i)(^|/)(\.env(\.[^/]*)?|[^/]*\.(pem|key|p12|pfx|jks|keystore)|id_(rsa|dsa|ecdsa|ed25519)(\.pub)?|\.netrc|\.npmrc|\.pypirc|\.htpasswd|credentials(\.json)?|secrets?\.(ya?ml|json|toml))$"

@@ -53,6 +53,9 @@ def test_regex_guard():
 
 def test_end_lines_and_docs():
     lines = ["/** Adds.", " * Two. */", "@dec", "int f(int a) {", "  char c = '}'; // }", "  if (a) { return 1; }", "}", "x"]
-    assert T.end_line_of(lines, 4, "function") == 7 and T.end_line_of(lines, 4, "constant") == 4
+    text = "\n".join(lines)
+    assert T.block_end(text, 4, "function") == 7 and T.block_end(text, 4, "constant") == 4
+    assert T.block_end("int f(int a, char *b = \"{\");\nint g;", 1, "function") == 1 and T.block_end("def f():\n  pass\n", 1, "function") == 3
+    assert T.block_end("f() { /* }\n} */ `}`\n # }\n}\n", 1, "function") == 4
     assert T.docstring_above(lines, 4) == "Adds.\nTwo."
     assert T.docstring_above(["// a", "// b", "f()"], 3) == "a\nb"

@@ -5,7 +5,7 @@ import pytest
 from lexiweft.plans import registry
 
 SF = "/root/testdata/sf0.001"
-WHOLE = ["dependents_depth_whole", "dead_symbols_whole", "blast_radius_whole", "callers_whole"]
+WHOLE = ["dependents_depth", "dead_symbols", "blast_radius", "callers"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -37,8 +37,8 @@ def test_whole_graph_equals_a_walk(spark):
     for depth in range(4):
         seen |= dict.fromkeys(frontier, depth)
         frontier = {a for b in frontier for a in back.get(b, ())} - seen.keys()
-    got = {r.file: r.depth for r in registry.QUERIES["dependents_depth_whole"](spark, SF).collect()}
+    got = {r.file: r.depth for r in registry.QUERIES["dependents_depth"](spark, SF).collect()}
     assert got == seen and len(got) > 0
     parts = {r.p_partkey for r in B.read(spark, SF, "part").collect()}
-    dead = {r.id for r in registry.QUERIES["dead_symbols_whole"](spark, SF).collect() if r.classification == "dead"}
+    dead = {r.id for r in registry.QUERIES["dead_symbols"](spark, SF).collect() if r.classification == "dead"}
     assert dead <= parts and dead.isdisjoint(back)
