@@ -156,13 +156,32 @@ def glob_to_regex(glob: str, pathname: bool = True, fold: bool = True) -> str:
     return ("(?is)^" if fold else "(?s)^") + out + "$"
 
 
+#: What a pattern consists of: escapes and classes are one token each, so that signs in them repeat nothing.
+REGEX_TOKEN = re.compile(r"""\\.|\[\^?\]?(?:\\.|[^\]\\])*\]?|\{[^}]*\}|[ \t]+|.""", re.S)
+
+
+def _repeats_a_repeat(pattern: str) -> bool:
+    """Whether a group that itself holds a repeat is repeated."""
+    tokens = [t for t in REGEX_TOKEN.findall(pattern) if t.strip(" \t")]
+    open_groups: list[bool] = []  # does the group hold a repeat
+    for t, after in zip(tokens, [*tokens[1:], ""]):
+        if t == "(":
+            open_groups.append(False)
+        elif t == ")":
+            if open_groups and open_groups.pop() and after[:1] in ("+", "*", "{"):
+                return True
+        elif t[0] in "+*{" and open_groups:
+            open_groups[-1] = True
+    return False
+
+
 def check_regex(pattern: str) -> str | None:
     """Why a pattern is refused, or None: empty, over 200 characters, a repeat of a repeat, or no regular expression."""
     if not pattern:
         return "empty"
     if len(pattern) > 200:
         return "too long"
-    if re.search(r"\([^()]*[+*}][^()]*\)\s*[+*{]", pattern):
+    if _repeats_a_repeat(pattern):
         return "nested quantifier"
     try:
         re.compile(pattern)
@@ -203,14 +222,19 @@ def confidence(language: Column) -> Column:
 CODE_TOKEN = re.compile(r"""/\*.*?(?:\*/|\Z)|//[^\n]*|^[ \t]*#[^\n]*|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|[{}();]""", re.S | re.M)
 
 
-def block_end(text: str, line: int, kind: str, most: int = 50) -> int:
+def line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def block_end(text: str, line: int, kind: str, most: int = 50, begin: list[int] | None = None) -> int:
     """The line (from 1) on which the symbol that begins on a line ends: at its closing brace, or at a semicolon before any brace.
 
     Kinds of one line end where they begin. Without either end, the symbol is taken to have `most` lines more, as far as there are any.
+    begin: line_starts(text), where they are known.
     """
     if kind in SINGLE_LINE_KINDS:
         return line
-    begin = [0, *(m.end() for m in re.finditer("\n", text))]
+    begin = begin or line_starts(text)
     braces = brackets = 0
     for m in CODE_TOKEN.finditer(text, begin[line - 1]):
         t = m[0]
@@ -223,8 +247,14 @@ def block_end(text: str, line: int, kind: str, most: int = 50) -> int:
     return min(line + most, len(begin))
 
 
-def docstring_above(lines: list[str], start: int) -> str:
-    """The comment that ends above line start (from 1), without its marks; decorators in between are passed over."""
+COMMENT_MARKS = ("///", "//", "##", "#", "--")
+
+
+def docstring_above(lines: list[str], start: int, hashes: bool = True) -> str:
+    """The comment that ends above line start (from 1), without its marks; decorators in between are passed over.
+
+    hashes: whether # begins a comment in the language.
+    """
     n = start - 2
     while n >= 0 and lines[n].strip().startswith(("@", "#[", "[")):
         n -= 1
@@ -237,7 +267,7 @@ def docstring_above(lines: list[str], start: int) -> str:
             top -= 1
         body = [re.sub(r"^\s*(/\*+!?|\*(?!/))?\s?|\s*\*+/\s*$", "", x) for x in lines[top : n + 1]]
         return "\n".join(x.rstrip() for x in body).strip()
-    marks = next((m for m in ("///", "//", "##", "#", "--") if last.startswith(m)), None)
+    marks = next((m for m in COMMENT_MARKS if last.startswith(m) and (hashes or m[0] != "#")), None)
     if not marks:
         return ""
     top = n

@@ -21,15 +21,16 @@ def append_log(calls: DataFrame, path: str) -> None:
 
 
 def as_table(df: DataFrame, widest: int = 60, most_rows: int = 1000) -> str:
-    """Aligned columns under upper-case heads; long cells end in an ellipsis."""
-    rows = [["" if v is None else str(v) for v in r] for r in df.limit(most_rows).collect()]
+    """Aligned columns under upper-case heads; long cells end in an ellipsis, and so does a table of more than most_rows rows."""
+    rows = [["" if v is None else str(v) for v in r] for r in df.limit(most_rows + 1).collect()]
     if not rows:
         return "(no results)"
+    more, rows = rows[most_rows:], rows[:most_rows]
     cut = lambda s: s if len(s) <= widest else s[: widest - 3] + "..."
     rows = [[cut(c) for c in r] for r in rows]
     heads = [c.upper() for c in df.columns]
     width = [max(len(x) for x in col) for col in zip(heads, *rows)]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in [heads, *rows])
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in [heads, *rows]) + ("\n..." if more else "")
 
 
 def as_markdown(bundles: DataFrame) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import contains_ci, glob_to_regex, path_filter
+from ..functions.text import contains_ci, glob_to_regex, is_fallback_summary, path_filter
 
 MOST_QUERY_CHARS = 500
 DEFAULT_CAP, MOST_CAP = 50, 200
@@ -81,16 +81,19 @@ def gate(symbols: DataFrame, query: str, index: DataFrame | None = None) -> Data
 
 
 def bonus(file: Column, query: str = "") -> Column:
-    """Of the file's extension."""
-    ext = F.lower(F.regexp_extract(F.substring_index(file, "/", -1), r"\.([^.]*)$", 1))
+    """Of the file's extension, in its exact case."""
+    ext = F.regexp_extract(F.substring_index(file, "/", -1), r"\.([^.]*)$", 1)
     out = F.lit(0.0)
     for value, names in EXTENSION_BONUS.items():
         out = F.when(ext.isin(*names), value).otherwise(out)
     return out
 
 
-def search_symbols(symbols: DataFrame, query: str, kinds: list[str] | None = None, language: str | None = None, file_glob: str | None = None, regex: bool = False, use_gate: bool = False, centrality: DataFrame | None = None, index: DataFrame | None = None, cap: int | None = DEFAULT_CAP) -> DataFrame:
-    """symbols with score (and its parts), best first, at most cap rows (None: all, for counts). Ties go by id."""
+def search_symbols(symbols: DataFrame, query: str, kinds: list[str] | None = None, language: str | None = None, file_glob: str | None = None, regex: bool = False, use_gate: bool = False, centrality: DataFrame | None = None, index: DataFrame | None = None, cap: int | None = DEFAULT_CAP, file_bonus: bool = False) -> DataFrame:
+    """symbols with score (and its parts), best first, at most cap rows (None: all, for counts). Ties go by id.
+
+    file_bonus: with the bonus of the file's extension, in every mode; with centrality it is always there.
+    """
     words = query_words(query)
     rows = symbols
     if kinds:
@@ -113,7 +116,9 @@ def search_symbols(symbols: DataFrame, query: str, kinds: list[str] | None = Non
         rows = rows.withColumns(parts).withColumn("score", total.cast("double")).where(F.col("score") >= threshold(query))
     if centrality is not None:
         rows = rows.join(centrality.select(F.col("file"), F.col("score").alias("_c")), "file", "left")
-        rows = rows.withColumn("score", F.round(F.col("score") + F.floor(F.coalesce("_c", F.lit(0.0)) * 1000) / 1000 * CENTRALITY_SHARE + bonus(F.col("file")), 6)).drop("_c")
+        rows = rows.withColumn("score", F.round(F.col("score") + F.floor(F.coalesce("_c", F.lit(0.0)) * 1000) / 1000 * CENTRALITY_SHARE, 6)).drop("_c")
+    if file_bonus or centrality is not None:
+        rows = rows.withColumn("score", F.round(F.col("score") + bonus(F.col("file").cast("string")), 6))
     return rows if cap is None else rows.orderBy(F.desc("score"), "id").limit(min(cap, MOST_CAP))
 
 
@@ -134,12 +139,28 @@ def refine(found: DataFrame, wanted: str | None = None, unwanted: str | None = N
     return rows.limit(limit) if limit is not None else rows
 
 
-def detail(found: DataFrame, level: str = "standard") -> DataFrame:
-    """compact: id, kind, file, line. standard: with names, signature and summary. full: all columns."""
+DETAIL = {"compact": ["id", "name", "kind", "file", "line", "byte_length"]}
+DETAIL["standard"] = DETAIL["compact"] + ["qualified_name", "signature", "summary", "score"]
+
+
+def detail(found: DataFrame, level: str = "standard", contents: DataFrame | None = None) -> DataFrame:
+    """compact: what finds the symbol. standard: with what describes it. full: all columns, and with contents the source.
+
+    A qualified name equal to the name, and a summary that only repeats kind and name, are null. contents: file, content BINARY.
+    """
     if level == "compact":
-        return found.select("id", "kind", "file", "line")
-    named = found.withColumn("qualified_name", F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")))
-    return named if level == "full" else named.select("id", "kind", "file", "line", "name", "qualified_name", "signature", "summary", "score")
+        return found.select(DETAIL[level])
+    named = found.withColumns({
+        "qualified_name": F.when(F.col("qualified_name") != F.col("name"), F.col("qualified_name")),
+        "summary": F.when(~is_fallback_summary(F.col("summary"), F.col("kind"), F.col("name")), F.col("summary")),
+    })
+    if level != "full":
+        return named.select(DETAIL["standard"])
+    if contents is None:
+        return named
+    from .inspect import sources
+
+    return sources(named, contents)
 
 
 def similar_words(name: str, summary: str) -> list[str]:

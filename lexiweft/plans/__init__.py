@@ -1,0 +1 @@
+from . import registry, upkeep

@@ -68,3 +68,48 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("tool"), F.floor(F.col("value") * 100).alias("raw_bytes"), F.get_json_object("props", "$.k").cast("long").alias("response_bytes"), "ts")
+
+
+#: Extensions that the documents get as files of a source tree, by doc_id.
+TREE_EXTENSIONS = [".py", ".ts", ".js", ".c", ""]
+
+
+def by_id(*values) -> F.Column:
+    """One of the values for each document, in turn."""
+    return F.array(*[v if isinstance(v, F.Column) else F.lit(v) for v in values])[(F.col("doc_id") % len(values)).cast("int")]
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a source tree: path with an extension, content, doc_id, source, lang."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), by_id(*TREE_EXTENSIONS))
+    return read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", name).alias("path"), F.col("text").alias("content"), "doc_id", "source", "lang")
+
+
+def tree_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import of the next file of the folder from each one, spelled in eight ways in turn."""
+    folder = Window.partitionBy("source", "lang").orderBy("doc_id")
+    t = tree(spark, sf_dir).withColumns({"next": F.lead("path").over(folder), "k": F.concat(F.lit("d"), F.lead("doc_id").over(folder).cast("string"))}).where("k is not null")
+    spelled = by_id(F.col("next"), F.concat(F.lit("./"), "k"), F.concat(F.lit("../"), "lang", F.lit("/"), "k"), F.concat_ws(".", "source", "lang", "k"), F.col("k"), F.concat_ws(".", F.lit("pkg"), "lang", "k"), "vendor/unknown", F.col("next"))
+    return t.select(F.col("doc_id").alias("import_id"), F.col("path").alias("source_file"), spelled.alias("target_name"), by_id(*["import"] * 7, "system_include").alias("import_type"), F.lit("").alias("language"))
+
+
+def tree_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for each file, named by its language; every other one has a summary that says no more than that."""
+    summary = by_id(F.concat(F.lit("Class "), "lang"), F.concat(F.lit("document of "), "source"))
+    return tree(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("name"), F.concat("lang", F.lit(".d"), F.col("doc_id").cast("string")).alias("qualified_name"), F.lit("").alias("signature"), summary.alias("summary"), F.lit("").alias("docstring"), F.array("lang").alias("keywords"), F.col("path").alias("file"), F.lit(1).cast("long").alias("line"), F.lit("class").alias("kind"), F.col("lang").alias("language"), F.lit(100).cast("long").alias("byte_length"))
+
+
+#: A source text for each extension of the tree; K stands for the document's id.
+SAMPLES = [
+    'class CK:\n    """Holds. More."""\n    def run(self):\n        return 1\n\ndef go():\n    pass',
+    "import { aK } from './mK';\n/** Draws it. */\nclass WK {\n  // none\n}\nfunction fK() {\n  return '}';\n}",
+    "const z = require('qK');\nfunction gK(x) {\n  if (x) { return `}`; }\n}",
+    '#include <stdio.h>\n#include "hK.h"\n#define SIZE 4\nstruct sK {\n  int a;\n};',
+    "no code, K",
+]
+
+
+def sample_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language, content: the tree with these texts."""
+    text = F.replace(by_id(*SAMPLES), F.lit("K"), F.col("doc_id").cast("string"))
+    return tree(spark, sf_dir).select("path", by_id("python", "typescript", "javascript", "c", "unknown").alias("language"), text.alias("content"))

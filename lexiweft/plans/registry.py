@@ -322,13 +322,14 @@ def _(spark, d):
     return B.files(spark, d).where("content is not null").select("path", T.summarize(F.col("content")).alias("summary"))
 
 
-_SNAP = f"{FILES}, st AS (SELECT path, size_bytes AS size, doc_id AS mtime, hash FROM fil WHERE doc_id % 7 <> 0), di AS (SELECT path, size_bytes AS size, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE hash END AS hash FROM fil WHERE doc_id % 11 <> 0)"
+_SNAP = f"{FILES}, st AS (SELECT CASE doc_id % 7 WHEN 0 THEN path || '.old' ELSE path END AS path, size_bytes AS size, doc_id AS mtime, hash FROM fil), di AS (SELECT CASE doc_id % 11 WHEN 0 THEN path || '.new' ELSE path END AS path, size_bytes AS size, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE hash END AS hash FROM fil)"
 
 
 def _snapshots(spark, d):
     f = B.files(spark, d).select("path", F.col("size_bytes").alias("size"), F.col("doc_id").alias("mtime"), "hash", "doc_id")
-    stored = f.where("doc_id % 7 <> 0").drop("doc_id")
-    listed = f.where("doc_id % 11 <> 0").withColumns({"mtime": F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")), "hash": F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("hash"))}).drop("doc_id")
+    named = lambda n, end: F.when(F.col("doc_id") % n == 0, F.concat("path", F.lit(end))).otherwise(F.col("path"))
+    stored = f.withColumn("path", named(7, ".old")).drop("doc_id")
+    listed = f.withColumns({"path": named(11, ".new"), "mtime": F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")), "hash": F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("hash"))}).drop("doc_id")
     return stored, listed
 
 

@@ -84,6 +84,69 @@ def vendored(files: DataFrame, workspaces: list[str] = ()) -> DataFrame:
     return rows.where(~own)
 
 
+#: Root manifests that list a project's own members: (file name, what encloses the list, a member in it).
+MEMBER_LISTS = [
+    (r"package\.json", r'(?s)"workspaces"\s*:\s*(?:\{.*?"packages"\s*:\s*)?\[([^\]]*)\]', r'"([^"]+)"'),
+    (r"Cargo\.toml", r"(?s)\[workspace\](?:(?!\n\[).)*?\bmembers\s*=\s*\[([^\]]*)\]", r"[\"']([^\"']+)[\"']"),
+    (r"go\.work", r"(?m)^\s*use\s*\(([^)]*)\)", r"(?m)^\s*(?!//)([^\s()]+)"),
+    (r"go\.work", r"(?m)^\s*use[ \t]+([^\s(]+)", r"(\S+)"),
+    (r"pom\.xml", r"(?s)<modules>(.*?)</modules>", r"<module>\s*([^<]*?)\s*</module>"),
+    (r"settings\.gradle(?:\.kts)?", r"(?m)^\s*include\b\s*((?:[^\n]|,\s*\n)*)", r"[\"']([^\"']+)[\"']"),
+]
+
+
+def workspaces(tree: DataFrame) -> DataFrame:
+    """manifest, folder: the members (folders or globs) that the root manifests of npm, Cargo, Go, Maven and Gradle list."""
+    text = F.col("content").cast("string")
+    lists = [F.when(F.col("path").rlike(f"^{name}$"), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(around), 1), lambda x: F.regexp_extract_all(x, F.lit(member), 1)))) for name, around, member in MEMBER_LISTS]
+    rows = tree.where(~F.contains("path", F.lit("/"))).select(F.col("path").alias("manifest"), F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
+    plain = F.when(F.startswith("manifest", F.lit("settings.gradle")), F.translate("m", ":", "/")).otherwise(F.col("m"))
+    folder = F.regexp_replace(F.regexp_replace(plain, r"^(\./|/)+", ""), r"/+$", "")
+    return rows.where("m not like '!%'").select("manifest", folder.alias("folder")).where("folder not in ('', '.')").distinct()
+
+
+def third_party(tree: DataFrame) -> DataFrame:
+    """vendored(), with the workspaces that the tree's own root manifests list (a few short files)."""
+    return vendored(tree, [r.folder for r in workspaces(tree).collect()])
+
+
+# Manifests and the extensions of such, with their ecosystems; extensions of source files; folders not entered.
+ECOSYSTEMS = {
+    "composer.json": "php", "package.json": "node", "Cargo.toml": "rust", "go.mod": "go", "pyproject.toml": "python", "setup.py": "python", "setup.cfg": "python", "requirements.txt": "python", "Gemfile": "ruby",
+    "build.gradle": "java", "build.gradle.kts": "kotlin", "pom.xml": "java", "CMakeLists.txt": "c/cpp", "Makefile": "c/cpp", "mix.exs": "elixir", "pubspec.yaml": "dart", "stack.yaml": "haskell", "cabal.project": "haskell",
+    "build.sbt": "scala", "build.zig": "zig", "flake.nix": "nix",
+}
+ECOSYSTEM_EXTENSIONS = {"sln": "dotnet", "csproj": "dotnet", "fsproj": "dotnet", "cabal": "haskell"}
+SOURCE_EXTENSIONS = (
+    "php phtml inc js jsx mjs cjs ts tsx mts vue py pyw go rs java c h cpp cxx cc hpp hxx hh cs rb kt kts swift dart lua pl pm sh bash zsh sql r R scala ex exs erl hrl hs ml mli vim el clj cljs cljc groovy v sv nix gleam ejs md markdown mdx"
+).split()
+CLOSED_FOLDERS = "vendor node_modules .git .svn .hg __pycache__ .tox .venv venv dist build target .idea .vscode".split()
+LEAST_SOURCES, DEEPEST_MANIFEST = 5, 2
+
+
+def detect_codebases(listing: DataFrame, indexed: DataFrame) -> DataFrame:
+    """project, detection (manifest-root, manifest-subdir, heuristic, none), ecosystems (sorted), action (index:create, ready, skip).
+
+    listing: project, path of every file. indexed: project, of those with an index. Manifests below the root count at the
+    least depth that has any, of all its folders; hidden and closed folders are not entered. Without manifests, a Git folder
+    and five source files do.
+    """
+    parts, name = F.split("path", "/"), F.substring_index("path", "/", -1)
+    depth = F.size(parts) - 1
+    entered = ~F.exists(F.slice(parts, F.lit(1), depth), lambda p: p.startswith(".") | F.lower(p).isin(*CLOSED_FOLDERS))
+    visible = ~name.startswith(".")
+    by_name, by_extension = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (ECOSYSTEMS, ECOSYSTEM_EXTENSIONS))
+    eco = F.coalesce(by_name[name], F.when(visible, by_extension[F.regexp_extract(name, r"\.([^.]*)$", 1)]))
+    source = entered & visible & F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*SOURCE_EXTENSIONS)
+    rows = listing.select("project", depth.alias("depth"), F.when(entered, eco).alias("eco"), source.alias("source"), parts[0].alias("top"))
+    at = [F.array_sort(F.collect_set(F.when(F.col("depth") == d, F.col("eco")))).alias(f"eco{d}") for d in range(DEEPEST_MANIFEST + 1)]
+    facts = rows.groupBy("project").agg(*at, F.count_if("source").alias("sources"), F.bool_or((F.col("top") == ".git") & (F.col("depth") > 0)).alias("git"))
+    found = F.coalesce(*[F.when(F.size(f"eco{d}") > 0, F.col(f"eco{d}")) for d in range(DEEPEST_MANIFEST + 1)], F.array().cast("array<string>"))
+    how = F.when(F.size("eco0") > 0, "manifest-root").when(F.size(found) > 0, "manifest-subdir").when(F.col("git") & (F.col("sources") >= LEAST_SOURCES), "heuristic").otherwise("none")
+    facts = facts.select("project", how.alias("detection"), found.alias("ecosystems")).join(indexed.select("project").distinct().withColumn("_has", F.lit(True)), "project", "left")
+    return facts.select("project", "detection", "ecosystems", F.when(F.col("detection") == "none", "skip").when(F.col("_has"), "ready").otherwise("index:create").alias("action"))
+
+
 def contained(root: str, path: str) -> bool:
     """Whether a path, links resolved, lies below root."""
     root, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))

@@ -5,7 +5,7 @@ import pytest
 from lexiweft.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["search_symbols_token_budget", "text_search_context", "dependents_depth", "path_tree", "change_detection", "file_summaries"]
+SOME = ["search_symbols_token_budget", "text_search_context", "dependents_depth", "path_tree", "change_detection", "file_summaries", "resolve_imports", "extract_symbols", "symbol_source", "detect_codebases", "delete_cascade"]
 
 
 def test_every_query_has_sql():

@@ -12,15 +12,15 @@ def one(spark, column, **values):
 
 
 def test_ids(spark):
-    a, b, c = F.lit("src/Auth.php"), F.lit("Auth.login"), F.lit("method")
-    assert one(spark, T.make_id(a, b, c, F.lit(0))) == "src/Auth.php::Auth.login#method"
-    assert one(spark, T.make_id(a, b, c, F.lit(2))) == "src/Auth.php::Auth.login#method~2"
+    a, b, c = F.lit("plant/valve.py"), F.lit("Valve.open"), F.lit("method")
+    assert one(spark, T.make_id(a, b, c, F.lit(0))) == "plant/valve.py::Valve.open#method"
+    assert one(spark, T.make_id(a, b, c, F.lit(3))) == "plant/valve.py::Valve.open#method~3"
 
 
 @pytest.mark.parametrize("doc, want", [
-    ("Create a new instance. This handles initialization.", "Create a new instance."),
-    ("Get the user name.\n@param int $id", "Get the user name."), ("Summary line.\n\nDetailed", "Summary line."),
-    ("Version 2.0 is released.", "Version 2.0 is released."), ("", ""), ("   ", ""), ("@param x", ""), ("\n\n", ""),
+    ("Opens the valve. Closing is left to the caller.", "Opens the valve."), ("Waits until the tank\nis full. Then stops.", "Waits until the tank is full."),
+    ("Reads a gauge.\n@returns bar", "Reads a gauge."), ("Pumps\n\nSlowly. Always.", "Pumps"),
+    ("Needs 1.5 bar at least.", "Needs 1.5 bar at least."), ("", ""), (" \t ", ""), ("@see tank", ""), ("\n \n", ""),
     ("a" * 120, "a" * 120), ("a" * 121, "a" * 117 + "..."),
 ])
 def test_summaries(spark, doc, want):
@@ -28,8 +28,8 @@ def test_summaries(spark, doc, want):
 
 
 def test_keywords(spark):
-    assert one(spark, T.keywords(F.lit("UserService.getUserData"))) == ["user", "service", "get", "data"]
-    assert one(spark, T.keywords(F.lit("X.a"))) == []
+    assert one(spark, T.keywords(F.lit("PumpRoom.openPumpValve_2nd"))) == ["pump", "room", "open", "valve", "2nd"]
+    assert one(spark, T.keywords(F.lit("Q.z"))) == []
 
 
 def test_languages_and_kinds(spark):
