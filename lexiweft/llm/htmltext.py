@@ -51,6 +51,10 @@ N_FEATURES = N_TAG + N_HINT + 7
 LABEL = "data-y"
 
 
+#: Stands for all tags of blocks where open ones are counted.
+SOLID = "*"
+
+
 class Page:
     """parent, depth, feats: by node in document order. blocks: (node, text) in page order."""
 
@@ -63,6 +67,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack = [("", 0)]  # (tag, its node or that of the block around it)
+        places: dict[str, list[int]] = {}  # of each open tag, and of what is not INLINE (under SOLID), in the stack
         piece: list[str] = []
         links = linked = 0  # open <a> elements; link characters of the current run
         skip = 0  # depth inside hidden elements
@@ -85,11 +90,25 @@ class Page:
             nonlocal links, skip
             if any(t not in INLINE for t, _ in stack[k:]):
                 flush()
-            for t, _ in stack[k:]:
+            for t, _ in reversed(stack[k:]):
                 links -= t == "a"
                 skip -= t in HIDDEN
+                places[t].pop()
+                if t not in INLINE:
+                    places[SOLID].pop()
             del stack[k:]
 
+        def push(tag: str, node: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                places.setdefault(SOLID, []).append(len(stack))
+            stack.append((tag, node))
+
+        def place(tag: str) -> int:
+            """Of the innermost open one, 0 without any."""
+            found = places.get(tag)
+            return found[-1] if found else 0
+
         for m in TOKEN.finditer(source):
             tag = m["tag"] or m["tag2"]
             if raw and not (tag and (m["end"] or m["end2"]) and tag.lower() == raw):
@@ -105,21 +124,18 @@ class Page:
             tag = tag.lower()
             if m["end"] or m["end2"]:
                 raw = ""
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in ("article", "table", "td") and tag in ("p", "li", "b", "i", "a", "span"):
-                        break
+                k = place(tag)
+                if k and not (tag in ("p", "li", "b", "i", "a", "span") and k < max(map(place, ("article", "table", "td")))):
+                    pop_to(k)
                 continue
-            if tag in CLOSES_P or tag in SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = stack[k][0]
-                    if t in SAME.get(tag, ()) or tag in CLOSES_P and t == "p":
-                        pop_to(k)
-                        if tag not in ("tr",):
-                            break
-                    elif t in BARRIER.get(tag, ()) or tag in CLOSES_P and t not in INLINE:
+            if tag in CLOSES_P:
+                k = place(SOLID)
+                if k and (stack[k][0] == "p" or stack[k][0] in SAME.get(tag, ())):
+                    pop_to(k)
+            elif tag in SAME:
+                while (k := max(map(place, SAME[tag]))) > max(map(place, BARRIER[tag])):
+                    pop_to(k)
+                    if tag != "tr":
                         break
             if tag == "br":
                 piece.append(" ")
@@ -129,7 +145,7 @@ class Page:
                 continue
             attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"]
             if tag in INLINE:
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 links += tag == "a"
             else:
                 flush()
@@ -143,7 +159,7 @@ class Page:
                 self.labels.append(label)
                 for column_of in (self.chars, self.linked, self.runs):
                     column_of.append(0)
-                stack.append((tag, node))
+                push(tag, node)
                 skip += tag in HIDDEN
             if tag in RAW:
                 raw = tag
