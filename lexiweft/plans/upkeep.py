@@ -206,3 +206,10 @@ def _(spark, d):
     few = F.col("value") < 20
     calls = B.read(spark, d, "events").select("event_id", F.lit("search_symbols").alias("tool"), F.when(few, 0).otherwise(1).alias("n"), F.when(~few, F.concat(F.lit("s"), F.col("event_id").cast("string"))).alias("id"), F.lit(None).cast("string").alias("file"), F.lit("").alias("action"), F.lit(0).alias("changed"), F.when(F.col("event_type") == "error", "no_index").alias("error"), (F.col("value") < 10).alias("stale"))
     return hints.next_steps(calls).select(F.col("event_id").alias("id"), F.array_join("next", "|").alias("next"))
+
+
+@query("dead_tree_symbols", f"WITH {TREE_SYMBOLS}, firsts AS (SELECT arg_min(path, doc_id) AS path FROM tre GROUP BY source, lang) SELECT id, CASE WHEN file IN (SELECT path FROM firsts) THEN 'dead' ELSE 'unreferenced' END AS classification, 'low' AS confidence FROM sym WHERE name <> 'en' OR file IN (SELECT path FROM firsts)")
+def _(spark, d):
+    folder = "lead(path) over (partition by source, lang order by doc_id)"
+    step = B.tree(spark, d).selectExpr("path as source_file", f"{folder} as resolved_file", "'en' as imported_name", "'en' as target_name", "0L as line").where("resolved_file is not null")
+    return graph.dead_symbols(B.tree_symbols(spark, d), step, limit=None).select("id", "classification", "confidence")
