@@ -1,11 +1,13 @@
 """The operators of lexiweft.llm against brute force, round trips, held-out accuracy and odd rows."""
 
+import glob
 import hashlib
 import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,6 +474,23 @@ def test_search_equals_brute_force(spark):
         assert [h[:2] for h in have] == [w[:2] for w in want] and np.allclose([h[2] for h in have], [w[2] for w in want])
 
 
+def test_search_writes_few_files_of_single_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_DOCS", 20)
+    monkeypatch.setitem(topk.ONE_BY_ONE, "parquet.block.size", "1000")  # as small as the shards
+    path = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{path}/lexiweft/*"))
+    d = docs(spark, *[f"word{i % 7} word{i % 11} w{i}" for i in range(1600)]).repartition(64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = topk.top_k(d, d.where("doc_id % 50 = 0"), k=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.doc_id for r in got) == list(range(0, 1600, 50)) and all(r.doc_id == r.query_id for r in got)
+    files = {what: [pq.ParquetFile(f).metadata for p in set(glob.glob(f"{path}/lexiweft/{what}-*")) - before for f in glob.glob(f"{p}/*.parquet")] for what in ("index", "queries")}
+    assert 0 < len(files["index"]) <= 16 and 0 < len(files["queries"]) <= 4
+    assert max(m.num_rows for m in files["index"]) > 1 and all(m.num_row_groups == m.num_rows for m in files["index"])
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(7)
