@@ -27,8 +27,6 @@ from ._common import column, in_arrow, slices, table
 
 MASK = "[SECRET]"
 NAMES = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret"
-#: Characters of a candidate that the forest sees; spans and masks cover all of it.
-MOST_READ = 512
 #: Alternatives in order; group v is the candidate where a name comes before it. Runs are taken whole, however long. The first
 #: part of a token that begins inside a run ends before the next -eyJ, so that no run is read again from each of its eyJ.
 CANDIDATE = re.compile(
@@ -75,7 +73,6 @@ _COVER = re.compile("|".join(_BY_LENGTH))
 
 
 def features(value: str, name: str, before: str, after: str, source: str) -> list[float]:
-    value = value[:MOST_READ]
     n = len(value)
     low = value.lower()
     kinds = [_kind(c) for c in value]

@@ -399,6 +399,14 @@ def test_long_secrets_are_taken_whole(spark):
         secretscan.find(odd + " 1", "web", forest)
 
 
+def test_candidates_are_judged_whole():
+    rng = np.random.default_rng(4)
+    pick = lambda k: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), k))
+    values = ["x" * 512 + pick(2000), "placeholder_" * 43 + pick(2000), pick(512) + "placeholder_" * 500]
+    found = [secretscan.find(f"so token={v} end", "web", secretscan.trained())[1] for v in values]
+    assert found == [[(9, 9 + len(values[0]))], [(9, 9 + len(values[1]))], []]
+
+
 def test_private_keys_are_masked_whole(spark):
     rng = np.random.default_rng(6)
     body = "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789+/"), 1600))
