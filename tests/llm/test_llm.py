@@ -482,6 +482,40 @@ def test_search_equals_brute_force(spark):
         assert [h[:2] for h in have] == [w[:2] for w in want] and np.allclose([h[2] for h in have], [w[2] for w in want])
 
 
+def test_search_keeps_alike_documents_and_queries_together(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["the"] * 9 + list(rng.choice([f"{'xy'[i % 2]}{j}" for j in range(60)], 30 + i % 5))) for i in range(512)]
+    d = docs(spark, *texts).select(F.col("doc_id").alias("key"), "text").coalesce(1)
+    (row,) = topk.build_index(d).collect()
+    places = np.frombuffer(row.docs, np.int64).reshape(-1, topk.BLOCK) % 2
+    assert sorted(np.frombuffer(row.docs, np.int64)) == list(range(512)) and sum(len(set(b)) == 1 for b in places) >= 7
+    terms = topk._query_terms(d.select(F.col("key").alias("query"), "text")).select("query", "term", F.col("qtf").cast("double").alias("weight"))
+    (block,) = topk._blocks(terms, 1).collect()
+    asked = np.frombuffer(block.ids, np.int64)
+    assert sorted(asked) == list(range(512)) and sum(len(set(b)) == 1 for b in asked.reshape(-1, 64) % 2) >= 7
+
+
+def test_search_reads_no_shard_that_cannot_raise_a_query(spark, monkeypatch):
+    d = docs(spark, *[f"same{i % 3} word{i} w{i % 7}" for i in range(300)]).select(F.col("doc_id").alias("key"), "text").coalesce(1)
+    (row,) = topk.build_index(d).collect()
+    shard = topk.Shard(row.asDict(), 3.0)
+    terms = shard.terms[:40]
+    asked = (np.array([0, 20, 40]), shard.slots_of(terms), np.ones(40))
+    got = list(shard.search(*asked, np.zeros((2, 5))))
+    exact = np.zeros((2, len(shard.docs)))
+    for i in range(40):
+        posts = slice(shard.starts[i], shard.starts[i + 1])
+        exact[i // 20, shard.at[posts]] += shard.impact[posts]
+    for q in (0, 1):
+        have = sorted((s for of, _, scores in got for o, s in zip(of, scores) if o == q), reverse=True)
+        assert np.allclose(have[:5], sorted(exact[q], reverse=True)[:5], atol=1e-6)
+    seen = []
+    monkeypatch.setattr(topk.Shard, "_together", lambda self, owner, slot, weight, best: seen.append(best) or iter(()))
+    # More than all 40 terms can be worth, 2.2 each.
+    assert list(shard.search(*asked, np.full((2, 5), 2.2 * 41))) == [] and not seen
+    assert list(shard.search(*asked, np.array([[2.2 * 41] * 5, [0.1] * 5]))) == [] and len(seen) == 1 and seen[0].shape == (1, 5) and seen[0][0, 0] == 0.1
+
+
 def test_search_writes_few_files_of_single_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_DOCS", 20)
     monkeypatch.setitem(topk.ONE_BY_ONE, "parquet.block.size", "1000")  # as small as the shards
